@@ -166,9 +166,9 @@ def link_fingerprints(spark: SparkSession, fps: DataFrame, radius: int = RADIUS,
 
 
 def near_duplicates(spark: SparkSession, df: DataFrame, columns: list[str], radius: int = RADIUS) -> DataFrame:
-    """``columns`` (doc_id among them), fp and component_id of every row of ``df``.
+    """``columns`` (doc_id among them), fp, root and component_id of every row of ``df``.
 
-    component_id is the smallest doc_id that is reachable over links of fingerprints that
+    root is the least fingerprint of the row's component, component_id is the smallest doc_id that is reachable over links of fingerprints that
     differ in at most ``radius`` bits, the row's own included; null only if no doc_id of the
     component is known. Null and empty texts have fingerprint 0 and link like any other.
     Repeated rows are kept, an empty table gives no rows.
@@ -178,5 +178,5 @@ def near_duplicates(spark: SparkSession, df: DataFrame, columns: list[str], radi
     roots = link_fingerprints(spark, docs.select("fp").distinct(), radius)
     rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select(*columns, "fp", "component_id")
+    named = rooted.join(smallest, "root").select("fp", "root", "component_id")
+    return docs.join(named, "fp").select(*columns, "fp", "root", "component_id")
