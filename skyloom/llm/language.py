@@ -21,6 +21,8 @@ DIMS = 1 << 13
 #: Labelled rows of each language that the classifier is fitted on, about; the hash of doc_id chooses them.
 SAMPLE_PER_LANG = 400
 CENTROIDS = 4
+#: Languages whose counts may be broadcast; if there are more, the join is shuffled.
+MOST_LANGS = 10_000
 #: A text is rejected when its cosine is under this share of the least cosine of a learned text.
 MARGIN = 0.5
 UNKNOWN = "und"
@@ -113,6 +115,8 @@ def train(df: DataFrame, per_lang: int = SAMPLE_PER_LANG, k: int = CENTROIDS) ->
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out()
     )
     sizes = able.groupBy("lang").agg(F.count("*").alias("n"))
+    if sizes.limit(MOST_LANGS + 1).count() <= MOST_LANGS:
+        sizes = F.broadcast(sizes)
     share = F.lit(per_lang) / F.greatest(F.col("n"), F.lit(per_lang))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
