@@ -37,30 +37,39 @@ def turn_tokens(text: Column) -> Column:
 
 
 def _spans(df: DataFrame, budget: int, history: int) -> DataFrame:
-    """Every turn with its place, tokens before it, span, the system turn, and the span it is history of, or null."""
+    """Every turn with its place, span, the system turn, and the span it is history of, or null.
+
+    Texts are shuffled twice, by run and by span; the runs' totals are narrow, and their join
+    keeps the partitioning by run.
+    """
     turns = df.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("tokens", turn_tokens(F.col("text")))
-    turns = turns.withColumn("run", F.coalesce(F.floor(F.col("turn") / F.lit(RUN)), F.lit(-(1 << 62))))
-    order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    within = Window.partitionBy("conv_id", "run").orderBy(*order)
+    ).withColumns(
+        {
+            "tokens": turn_tokens(F.coalesce("text", F.lit(""))),
+            "key": F.coalesce("conv_id", F.lit(0)),
+            "known": F.col("conv_id").isNotNull(),
+            "run": F.coalesce(F.floor(F.col("turn") / F.lit(RUN)), F.lit(-(1 << 62))),
+        }
+    )
+    run = ["key", "known", "run"]
+    within = Window.partitionBy(*run).orderBy(F.col("turn").asc_nulls_first(), F.col("role"), F.col("text"))
     inside = turns.withColumn("before", F.sum("tokens").over(within.rowsBetween(Window.unboundedPreceding, -1))).withColumn(
         "place", F.row_number().over(within)
     )
-    totals = turns.groupBy("conv_id", "run").agg(
-        F.sum("tokens").alias("sum"), F.count("*").alias("n"), F.min(F.struct("turn", "role", "text")).alias("first")
-    )
-    over = Window.partitionBy("conv_id").orderBy("run")
+    lead = F.struct("turn", "role", F.when(F.col("role") == "system", F.col("text")).alias("text"))
+    totals = turns.groupBy(*run).agg(F.sum("tokens").alias("sum"), F.count("*").alias("n"), F.min(lead).alias("lead"))
+    over = Window.partitionBy("key", "known").orderBy("run")
     earlier = over.rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
-        F.col("conv_id").alias("c"),
-        F.col("run").alias("r"),
+        *run,
         F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("base"),
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows"),
-        F.first("first").over(over).alias("lead"),
-        F.sum("sum").over(Window.partitionBy("conv_id")).alias("all"),
+        F.first("lead").over(over)["text"].alias("system"),
+        F.sum("sum").over(Window.partitionBy("key", "known")).alias("all"),
     )
-    placed = inside.join(totals, inside["conv_id"].eqNullSafe(totals["c"]) & (inside["run"] == totals["r"])).select(
+    stride = budget - history
+    spanned = inside.join(totals, run).select(
         "conv_id",
         "role",
         "text",
@@ -68,10 +77,8 @@ def _spans(df: DataFrame, budget: int, history: int) -> DataFrame:
         (F.coalesce("before", F.lit(0)) + F.col("base")).alias("before"),
         "tokens",
         "all",
-        F.when(F.col("lead.role") == "system", F.col("lead.text")).alias("system"),
-    )
-    stride = budget - history
-    spanned = placed.withColumn("span", F.floor(F.col("before") / F.lit(stride)))
+        "system",
+    ).withColumn("span", F.floor(F.col("before") / F.lit(stride)))
     stop = F.max(F.col("before") + F.col("tokens")).over(Window.partitionBy("conv_id", "span"))
     following = F.floor(F.col("stop") / F.lit(stride))
     kept = (F.col("stop") < F.col("all")) & (F.col("stop") - F.col("before") <= history)
@@ -90,12 +97,12 @@ def format_conversations(df: DataFrame, budget: int = BUDGET, history: int = HIS
     budget by its last turn; the system turn comes on top.
     """
     turns = _spans(df, budget, history)
-    new = turns.select("conv_id", F.col("span").alias("window"), "place", F.lit(True).alias("new"), "role", "text", "system")
-    old = turns.filter("next_span is not null").select(
-        "conv_id", F.col("next_span").alias("window"), "place", F.lit(False).alias("new"), "role", "text", "system"
-    )
-    part = F.struct("place", "new", "role", "text")
-    windows = new.unionByName(old).groupBy("conv_id", "window").agg(
+    own = F.struct(F.col("span").alias("window"), F.lit(True).alias("new"))
+    old = F.struct(F.col("next_span").alias("window"), F.lit(False).alias("new"))
+    places = F.when(F.col("next_span").isNull(), F.array(own)).otherwise(F.array(own, old))
+    parts = turns.select("conv_id", "place", "role", "text", "system", F.explode(places).alias("w"))
+    part = F.struct("place", F.col("w.new").alias("new"), "role", "text")
+    windows = parts.groupBy("conv_id", F.col("w.window").alias("window")).agg(
         F.array_sort(F.collect_list(part)).alias("turns"), F.first("system").alias("system")
     )
     first = F.get("turns", F.lit(0))["place"] == 1
