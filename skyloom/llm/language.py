@@ -24,7 +24,7 @@ CENTROIDS = 4
 #: Languages whose counts may be broadcast; if there are more, the join is shuffled.
 MOST_LANGS = 10_000
 #: A text is rejected when its cosine is under this share of the least cosine of a learned text.
-MARGIN = 0.5
+MARGIN = 0.25
 UNKNOWN = "und"
 _GAPS = re.compile(r"[\W\d_]+")
 
