@@ -142,6 +142,11 @@ def coordinates(region: Column) -> Column:
     return region["v"]
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _unit(ra: Column, dec: Column) -> Column:
     a, d = F.radians(ra), F.radians(dec)
     return F.array(F.cos(d) * F.cos(a), F.cos(d) * F.sin(a), F.sin(d))
@@ -166,88 +171,98 @@ def _next(points: Column, i: Column) -> Column:
     return F.get(points, (i + 1) % F.size(points))
 
 
-def _sides(points: Column, p: Column) -> Column:
-    """On which side of each edge the point lies: the sine of its distance to the edge's great circle, with sign."""
+def _edges(points: Column) -> Column:
+    """The polygon's edges: their ends and the normals of their great circles."""
+
+    def edge(a: Column, i: Column) -> Column:
+        return _let(_next(points, i), lambda b: _let(_cross(a, b), lambda n: F.struct(
+            a.alias("a"), b.alias("b"), F.transform(n, lambda x: x / F.sqrt(_dot(n, n))).alias("n")
+        )))
+
+    return F.transform(points, edge)
+
+
+def _polygon_holds(v: Column, p: Column) -> Column:
+    """Whether a convex polygon holds a unit vector: it is on one side of all edges, and on the polygon's half of the sphere."""
+    zero = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
 
-    def side(a: Column, i: Column) -> Column:
-        normal = _cross(a, _next(points, i))
-        return _dot(normal, p) / F.sqrt(_dot(normal, normal))
+    def held(points: Column) -> Column:
+        middle = F.aggregate(points, zero, lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+        sides = F.transform(_edges(points), lambda e: _dot(e["n"], p))
+        return _let(sides, lambda s: (F.forall(s, lambda x: x >= -1e-9) | F.forall(s, lambda x: x <= 1e-9))) & (_dot(p, middle) > 0)
 
-    return F.transform(points, side)
+    return _let(_vertices(v), held)
 
 
 def contains(region: Column, ra: Column, dec: Column) -> Column:
     """Whether a circle, box or convex polygon column holds a position; null for a null region, false for a point elsewhere."""
-    v = region["v"]
-    n = [F.get(v, F.lit(i)) for i in range(4)]
-    sides = _sides(_vertices(v), _unit(ra, dec))
-    edge = F.lit(1e-9)
-    convex = F.forall(sides, lambda s: s >= -edge) | F.forall(sides, lambda s: s <= edge)
-    near = _dot(_unit(ra, dec), F.aggregate(_vertices(v), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))) > 0
-    turn = F.pmod(_column(ra) - n[0], F.lit(360.0))
-    in_the_box = _column(dec).between(n[1] - EPSILON, n[3] + EPSILON) & ((turn <= n[2] - n[0] + EPSILON) | (turn >= 360 - EPSILON))
-    return (
-        F.when(region["kind"] == "P", separation(ra, dec, n[0], n[1]) <= EPSILON)
-        .when(region["kind"] == "C", separation(ra, dec, n[0], n[1]) <= n[2] + EPSILON)
-        .when(region["kind"] == "B", in_the_box)
-        .when(region["kind"] == "G", near & convex)
-    )
+
+    def of(r: Column) -> Column:
+        v = r["v"]
+        n = [F.get(v, F.lit(i)) for i in range(4)]
+        turn = F.pmod(_column(ra) - n[0], F.lit(360.0))
+        in_the_box = _column(dec).between(n[1] - EPSILON, n[3] + EPSILON) & ((turn <= n[2] - n[0] + EPSILON) | (turn >= 360 - EPSILON))
+        round_ = separation(ra, dec, n[0], n[1]) <= F.when(r["kind"] == "C", n[2]).otherwise(F.lit(0.0)) + EPSILON
+        return (
+            F.when(r["kind"].isin("P", "C"), round_)
+            .when(r["kind"] == "B", in_the_box)
+            .when(r["kind"] == "G", _let(_unit(_column(ra), _column(dec)), lambda p: _polygon_holds(v, p)))
+        )
+
+    return _let(region, of)
 
 
 def circles_intersect(ra1, dec1, r1, ra2, dec2, r2) -> Column:
     return separation(ra1, dec1, ra2, dec2) <= _column(r1) + _column(r2) + EPSILON
 
 
-def _edge_distance(points: Column, ra: Column, dec: Column) -> Column:
+def _edge_distance(v: Column, ra: Column, dec: Column) -> Column:
     """Degrees from a position to the nearest place on the edges of a polygon."""
-    p = _unit(ra, dec)
 
-    def far(a: Column, i: Column) -> Column:
-        b = _next(points, i)
-        normal = _cross(a, b)
-        sine = F.abs(_dot(normal, p)) / F.sqrt(_dot(normal, normal))
-        between = (_dot(_cross(normal, a), p) >= 0) & (_dot(_cross(b, normal), p) >= 0)
-        to_end = F.acos(F.least(F.lit(1.0), F.greatest(_dot(a, p), _dot(b, p))))
-        return F.when(between, F.asin(F.least(F.lit(1.0), sine))).otherwise(to_end)
+    def of(p: Column) -> Column:
+        def far(e: Column) -> Column:
+            n, a, b = e["n"], e["a"], e["b"]
+            between = (_dot(_cross(n, a), p) >= 0) & (_dot(_cross(b, n), p) >= 0)
+            to_end = F.acos(F.least(F.lit(1.0), F.greatest(_dot(a, p), _dot(b, p))))
+            return F.when(between, F.asin(F.least(F.lit(1.0), F.abs(_dot(n, p))))).otherwise(to_end)
 
-    return F.degrees(F.array_min(F.transform(points, far)))
+        return F.array_min(F.transform(_let(_vertices(v), _edges), far))
+
+    return F.degrees(_let(_unit(ra, dec), of))
+
+
+def _edges_cross(x: Column, y: Column) -> Column:
+    """Whether any two edges of two polygons cross."""
+
+    def crossed(e: Column, f: Column) -> Column:
+        apart = (_dot(e["n"], f["a"]) * _dot(e["n"], f["b"]) < 0) & (_dot(f["n"], e["a"]) * _dot(f["n"], e["b"]) < 0)
+        return apart & (_dot(e["n"], f["a"]) * _dot(f["n"], e["b"]) > 0)
+
+    ys = _let(_vertices(y), _edges)
+    return _let(ys, lambda t: F.exists(_let(_vertices(x), _edges), lambda e: F.exists(t, lambda f: crossed(e, f))))
 
 
 def intersects(a: Column, b: Column) -> Column:
     """Whether two regions share a position: points, circles and convex polygons, in any pairing."""
 
-    def one_way(x: Column, y: Column) -> Column:
+    def ordered(pair: Column) -> Column:
+        # the polygon, if there is one, is x; a point is y unless both are
+        x, y = pair["x"], pair["y"]
         xv, yv = x["v"], y["v"]
         at = [F.get(yv, F.lit(i)) for i in range(3)]
-        hit = contains(x, at[0], at[1])
-        touched = hit | (_edge_distance(_vertices(xv), at[0], at[1]) <= at[2] + EPSILON)
-        corners = F.sequence(F.lit(0), F.floor(F.size(yv) / 2).cast("int") - 1)
-        inside = F.exists(corners, lambda i: contains(x, F.get(yv, 2 * i), F.get(yv, 2 * i + 1)))
+        size = lambda r: F.when(r["kind"] == "C", F.get(r["v"], F.lit(2))).otherwise(F.lit(0.0))
+        round_ = separation(F.get(xv, F.lit(0)), F.get(xv, F.lit(1)), at[0], at[1]) <= size(x) + size(y) + EPSILON
+        inside = lambda one, other: F.exists(_vertices(other["v"]), lambda p: _polygon_holds(one["v"], p))
         return (
-            F.when(y["kind"] == "P", hit)
-            .when((x["kind"] == "C") & (y["kind"] == "C"), circles_intersect(F.get(xv, F.lit(0)), F.get(xv, F.lit(1)), F.get(xv, F.lit(2)), *at))
-            .when((x["kind"] == "G") & (y["kind"] == "C"), touched)
-            .when((x["kind"] == "G") & (y["kind"] == "G"), inside | _edges_cross(_vertices(xv), _vertices(yv)))
-            .otherwise(F.lit(False))
+            F.when(x["kind"] != "G", round_)
+            .when(y["kind"] == "P", contains(x, at[0], at[1]))
+            .when(y["kind"] == "C", contains(x, at[0], at[1]) | (_edge_distance(xv, at[0], at[1]) <= at[2] + EPSILON))
+            .otherwise(inside(x, y) | inside(y, x) | _edges_cross(xv, yv))
         )
 
-    return one_way(a, b) | one_way(b, a)
-
-
-def _edges_cross(xs: Column, ys: Column) -> Column:
-    def crossed(a: Column, i: Column) -> Column:
-        b = _next(xs, i)
-        normal = _cross(a, b)
-
-        def by(c: Column, j: Column) -> Column:
-            d = _next(ys, j)
-            other = _cross(c, d)
-            apart = (_dot(normal, c) * _dot(normal, d) < 0) & (_dot(other, a) * _dot(other, b) < 0)
-            return apart & (_dot(normal, c) * _dot(other, b) > 0)
-
-        return F.exists(F.transform(ys, by), lambda t: t)
-
-    return F.exists(F.transform(xs, crossed), lambda t: t)
+    swap = (b["kind"] == "G") & (a["kind"] != "G")
+    pair = F.struct(F.when(swap, b).otherwise(a).alias("x"), F.when(swap, a).otherwise(b).alias("y"))
+    return _let(pair, ordered)
 
 
 def circle_area(radius) -> Column:
@@ -261,15 +276,17 @@ def box_area(width: float, low: Column, high: Column) -> Column:
 
 def polygon_area(region: Column) -> Column:
     """Square degrees of a simple polygon, as the spherical excess of its triangles from the first vertex."""
-    points = _vertices(region["v"])
-    a = F.get(points, F.lit(0))
 
-    def excess(i: Column) -> Column:
-        b, c = F.get(points, i), F.get(points, i + 1)
-        return 2 * F.atan2(_dot(a, _cross(b, c)), 1 + _dot(a, b) + _dot(b, c) + _dot(c, a))
+    def area(points: Column) -> Column:
+        a = F.get(points, F.lit(0))
+
+        def excess(i: Column) -> Column:
+            b, c = F.get(points, i), F.get(points, i + 1)
+            return 2 * F.atan2(_dot(a, _cross(b, c)), 1 + _dot(a, b) + _dot(b, c) + _dot(c, a))
+
+        return F.abs(F.aggregate(F.sequence(F.lit(1), F.size(points) - 2), F.lit(0.0), lambda s, i: s + excess(i)))
 
-    total = F.aggregate(F.sequence(F.lit(1), F.size(points) - 2), F.lit(0.0), lambda s, i: s + excess(i))
-    return F.abs(total) * (180 / math.pi) ** 2
+    return _let(_vertices(region["v"]), area) * (180 / math.pi) ** 2
 
 
 def centroid(region: Column) -> Column:
