@@ -292,10 +292,14 @@ def polygon_area(region: Column) -> Column:
 def centroid(region: Column) -> Column:
     """The centre of a circle or point; of a polygon, the direction of the sum of its vertices."""
     v = region["v"]
-    s = F.aggregate(_vertices(v), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)), lambda t, x: F.zip_with(t, x, lambda a, b: a + b))
-    x, y, z = (F.get(s, F.lit(i)) for i in range(3))
-    middle = point(F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)), F.degrees(F.atan2(z, F.sqrt(x * x + y * y))))
-    return F.when(region["kind"] == "G", middle).otherwise(point(F.get(v, F.lit(0)), F.get(v, F.lit(1))))
+    zero = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+
+    def middle(s: Column) -> Column:
+        x, y, z = (F.get(s, F.lit(i)) for i in range(3))
+        return point(F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)), F.degrees(F.atan2(z, F.sqrt(x * x + y * y))))
+
+    total = F.aggregate(_vertices(v), zero, lambda t, x: F.zip_with(t, x, lambda a, b: a + b))
+    return F.when(region["kind"] == "G", _let(total, middle)).otherwise(point(F.get(v, F.lit(0)), F.get(v, F.lit(1))))
 
 
 def parse_region(text: Column) -> Column:

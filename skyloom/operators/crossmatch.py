@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.functions.sky import EPSILON, intersects, separation
+from skyloom.functions.sky import EPSILON, _let, centroid, intersects, separation
 
 #: Zones are not thinner than this many degrees.
 THINNEST = 1 / 3600
@@ -80,15 +80,20 @@ def cross_match(
 
 def bounding_circle(region: Column) -> Column:
     """[ra, dec, radius] of a circle that holds a region."""
-    from skyloom.functions.sky import centroid
 
-    v = region["v"]
-    middle = centroid(region)["v"]
-    ra, dec = F.get(middle, F.lit(0)), F.get(middle, F.lit(1))
-    corners = F.sequence(F.lit(0), F.floor(F.size(v) / 2).cast("int") - 1)
-    far = F.array_max(F.transform(corners, lambda i: separation(ra, dec, F.get(v, 2 * i), F.get(v, 2 * i + 1))))
-    radius = F.when(region["kind"] == "C", F.get(v, F.lit(2))).when(region["kind"] == "G", far).otherwise(F.lit(0.0))
-    return F.array(ra, dec, radius)
+    def of(r: Column) -> Column:
+        v = r["v"]
+
+        def about(middle: Column) -> Column:
+            ra, dec = F.get(middle, F.lit(0)), F.get(middle, F.lit(1))
+            corners = F.sequence(F.lit(0), F.floor(F.size(v) / 2).cast("int") - 1)
+            far = F.array_max(F.transform(corners, lambda i: separation(ra, dec, F.get(v, 2 * i), F.get(v, 2 * i + 1))))
+            radius = F.when(r["kind"] == "C", F.get(v, F.lit(2))).when(r["kind"] == "G", far).otherwise(F.lit(0.0))
+            return F.array(ra, dec, radius)
+
+        return _let(centroid(r)["v"], about)
+
+    return _let(region, of)
 
 
 def overlap_join(left: DataFrame, right: DataFrame, left_region: str, right_region: str, cell_degrees: float = 2.0) -> DataFrame:
@@ -100,16 +105,15 @@ def overlap_join(left: DataFrame, right: DataFrame, left_region: str, right_regi
     height = max(cell_degrees, THINNEST)
 
     def covered(df: DataFrame, region: str, side: str) -> DataFrame:
-        ball = bounding_circle(F.col(region))
-        spread = df.withColumn(f"ball_{side}", ball).filter(f"ball_{side} is not null")
-        n = [F.get(f"ball_{side}", F.lit(i)) for i in range(3)]
-        cells = _touched_any(n[0], n[1], n[2], height)
-        return spread.withColumn(f"cells_{side}", cells).withColumn("at_", F.explode(f"cells_{side}"))
+        n = lambda ball: [F.get(ball, F.lit(i)) for i in range(3)]
+        cells = _let(bounding_circle(F.col(region)), lambda ball: _touched_any(*n(ball), height))
+        spread = df.filter(F.col(region).isNotNull()).withColumn(f"cells_{side}", cells)
+        return spread.withColumn("at_", F.explode(f"cells_{side}"))
 
     a, b = covered(left, left_region, "l").alias("l"), covered(right, right_region, "r").alias("r")
     first = F.array_min(F.array_intersect("cells_l", "cells_r"))
     pairs = a.join(b, (F.col("l.at_") == F.col("r.at_")) & (F.col("l.at_") == first) & intersects(F.col(f"l.{left_region}"), F.col(f"r.{right_region}")))
-    return pairs.drop("at_", "cells_l", "cells_r", "ball_l", "ball_r")
+    return pairs.drop("at_", "cells_l", "cells_r")
 
 
 def _touched_any(ra: Column, dec: Column, reach: Column, height: float) -> Column:
