@@ -687,7 +687,7 @@ SOURCE = observations.ViewSource(
         "product_type": "case when o_orderstatus = 'F' then 'measurements' else o_orderstatus end",
         "obs_id": "concat('ivo://example/', concat_ws('/', c_custkey, o_orderkey))",
         "access_part": "l_partkey",
-        "access_kb": "round(l_extendedprice / 1000.0, 3)",
+        "access_kb": "l_extendedprice / 1000D",
         "t_min": "o_orderdate",
     },
 )
@@ -700,7 +700,7 @@ def _view_tables(t):
 
 _VIEW = (
     "SELECT o_orderkey, coalesce(c_mktsegment, 'unclassified') AS collection, CASE WHEN o_orderstatus = 'F' THEN 'measurements' ELSE o_orderstatus END AS product_type, "
-    "'ivo://example/' || c_custkey || '/' || o_orderkey AS obs_id, part AS access_part, round(price / 1000.0, 3) AS access_kb, o_orderdate AS t_min "
+    "'ivo://example/' || c_custkey || '/' || o_orderkey AS obs_id, part AS access_part, price / 1000.0 AS access_kb, o_orderdate AS t_min "
     "FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, first(l_partkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS part, first(l_extendedprice ORDER BY l_linenumber, l_partkey, l_extendedprice) AS price "
     "FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a ON o_orderkey = l_orderkey"
 )
