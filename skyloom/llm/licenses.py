@@ -78,16 +78,49 @@ COVERS = {"BSD-2-Clause": "BSD-3-Clause"}
 #: Ends of sentences; the second also where lines are not sentences but wrap.
 ENDS = (r"[.;:!?][.;:!?]*[ \t\r\n]+|[\r\n]+", r"[.;:!?][.;:!?]*[ \t\r\n]+")
 
+#: Ends of the third reading, in which lines wrap, but blank ones and notices of copyright end what stands before them.
+WRAPPED = r"[.;:!?][.;:!?]*[ \t\r\n]+|\n(?:[^A-Za-z0-9\n]*\n)+|(?i:copyright)[ \t]*(?:\((?i:c)\)|\x{A9}|[0-9]{4})[^\n]*(?:\n|$)"
+#: Sentences and rules of the third reading besides the others: GPL notices with a semicolon within their first sentence.
+MORE_SENTENCES = {
+    "gpl-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl2-either": "either version 2 of the license or at your option any later version",
+    "gpl3-either": "either version 3 of the license or at your option any later version",
+}
+MORE_RULES = {f"GPL-{n}.0": ["gpl-free", "gpl-terms", f"gpl{n}-either", "gpl-hope"] for n in (2, 3)}
+#: How a sentence names its licence, once normalised, and the names.
+NAMING = r"(?:(?:this|the) [a-z]+(?: [a-z]+)? (?:is|are) )?(?:licensed|released|distributed|(?:made )?available) under (?:the )?(?:terms of (?:the )?)?"
+NAMES = {
+    "Apache-2.0": "apache (?:software )?(?:license )?(?:version )?v?2(?: 0)?(?: license)?",
+    "BSD-2-Clause": "bsd 2 clause(?: simplified)?(?: license)?|2 clause bsd(?: license)?",
+    "BSD-3-Clause": "bsd 3 clause(?: new| revised)*(?: license)?|3 clause bsd(?: license)?",
+    "CC-BY-4.0": "(?:creative commons attribution|cc by) 4 0(?: international)?(?: license)?",
+    "CC-BY-NC-4.0": "(?:creative commons attribution non ?commercial|cc by nc) 4 0(?: international)?(?: license)?",
+    "CC-BY-SA-4.0": "(?:creative commons attribution share ?alike|cc by sa) 4 0(?: international)?(?: license)?",
+    "CC0-1.0": "(?:creative commons )?cc0 1 0(?: universal)?(?: license)?",
+    "GPL-2.0": "(?:gnu )?(?:general public license|gpl)(?: version)? v?2(?: 0)?(?: license)?(?: only| or later)?",
+    "GPL-3.0": "(?:gnu )?(?:general public license|gpl)(?: version)? v?3(?: 0)?(?: license)?(?: only| or later)?",
+    "ISC": "isc(?: license)?",
+    "MIT": "(?:expat )?mit(?: license)?",
+    "Unlicense": "unlicense(?: license)?",
+}
+AFTER = "(?: see .*)?"
+#: Fixed value: a BSD-2-Clause match that no BSD-3-Clause match goes on from, among the identifiers of a text.
+_NO_BSD3 = "(?:(?! bsd-(?:grant|names) ).)*"
+OWN_BSD2 = f" bsd-grant {_NO_BSD3} bsd-source {_NO_BSD3} bsd-binary {_NO_BSD3}(?: bsd-grant |$)| spdx-bsd2 "
+
 
 def normalised(sentence: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(sentence, "[^A-Za-z0-9]+", " ")))
 
 
-def sentence_ids(text: Column, ends: str) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
-    names = F.create_map(*[F.lit(x) for x in chain.from_iterable((s, k) for k, s in SENTENCES.items())])
-    known = F.filter(F.transform(F.split(text, ends), normalised), lambda s: s.isin(*SENTENCES.values()))
-    return F.transform(known, lambda s: F.element_at(names, s))
+def sentences(text: Column, ends: str) -> Column:
+    return F.transform(F.split(text, ends), normalised)
+
+
+def sentence_ids(read: Column, known: dict[str, str]) -> Column:
+    """Identifiers of the known ones among normalised sentences, in order."""
+    names = F.create_map(*[F.lit(x) for x in chain.from_iterable((s, k) for k, s in known.items())])
+    return F.transform(F.filter(read, lambda s: s.isin(*known.values())), lambda s: F.element_at(names, s))
 
 
 def matches(ids: Column, rule: list[str]) -> Column:
@@ -99,17 +132,26 @@ def find_licences(df: DataFrame) -> DataFrame:
     """doc_id, n_known, sentence_ids and licences (comma-joined, by name) of every row of ``df`` (doc_id, text).
 
     Sentences end at a stop with white space after it, or at a line's end. A second reading
-    takes line ends for white space, for texts whose sentences wrap; a licence counts if either
-    reading matches one of its rules. sentence_ids and n_known are of the first reading. A null or
-    empty text has none; repeated rows are scanned one by one; texts of any length are scanned whole.
+    takes line ends for white space, for texts whose sentences wrap; a third does so too, but ends
+    sentences at blank lines and notices of copyright. A licence counts if one reading matches
+    one of its rules, or if a sentence of the first or third says that something is under it.
+    BSD-2-Clause counts beside BSD-3-Clause only with a match of its own. sentence_ids and n_known
+    are of the first reading. A null or empty text has none; repeated rows are scanned one by
+    one; texts of any length are scanned whole.
     """
     text = F.coalesce("text", F.lit(""))
-    read = df.select("doc_id", *[sentence_ids(text, e).alias(f"ids{k}") for k, e in enumerate(ENDS)])
-    seq = read.select("doc_id", F.size("ids0").cast("long").alias("n_known"), F.array_join("ids0", ",").alias("sentence_ids"),
-                      *[F.concat(F.lit(" "), F.array_join(f"ids{k}", "  "), F.lit(" ")).alias(f"seq{k}") for k in (0, 1)])
+    cut = df.select("doc_id", *[sentences(text, e).alias(f"read{k}") for k, e in enumerate([*ENDS, WRAPPED])])
+    naming = F.concat(*[F.filter(F.col(f"read{k}"), lambda s: s.rlike(f"^{NAMING}")) for k in (0, 2)])
+    read = cut.select("doc_id", *[sentence_ids(F.col(f"read{k}"), SENTENCES if k < 2 else SENTENCES | MORE_SENTENCES).alias(f"ids{k}") for k in range(3)], F.array_join(naming, "\n").alias("naming"))
+    seq = read.select("doc_id", "naming", F.size("ids0").cast("long").alias("n_known"), F.array_join("ids0", ",").alias("sentence_ids"),
+                      *[F.concat(F.lit(" "), F.array_join(f"ids{k}", "  "), F.lit(" ")).alias(f"seq{k}") for k in range(3)])
+    named = {name: F.col("naming").rlike(f"(?m)^{NAMING}(?:{form}){AFTER}$") for name, form in NAMES.items()}
     hit = {
-        name: reduce(Column.__or__, [matches(F.col(f"seq{k}"), r) for r in rules for k in (0, 1)]) for name, rules in RULES.items()
+        name: reduce(Column.__or__, [matches(F.col(f"seq{k}"), r) for r in rules for k in range(3)]) | named[name] for name, rules in RULES.items()
     }
-    shown = [F.when(h & ~hit[COVERS[n]] if n in COVERS else h, F.lit(n)) for n, h in sorted(hit.items())]
-    found = F.when((F.col("seq0") == "  ") & (F.col("seq1") == "  "), F.lit("")).otherwise(F.concat_ws(",", *shown))
+    hit |= {name: hit[name] | matches(F.col("seq2"), rule) for name, rule in MORE_RULES.items()}
+    own = reduce(Column.__or__, [F.col(f"seq{k}").rlike(OWN_BSD2) for k in range(3)]) | named["BSD-2-Clause"]
+    shown = [F.when(h & (~hit[COVERS[n]] | own) if n in COVERS else h, F.lit(n)) for n, h in sorted(hit.items())]
+    nothing = reduce(Column.__and__, [F.col(f"seq{k}") == "  " for k in range(3)]) & (F.col("naming") == "")
+    found = F.when(nothing, F.lit("")).otherwise(F.concat_ws(",", *shown))
     return seq.select("doc_id", "n_known", "sentence_ids", found.alias("licences"))
