@@ -44,7 +44,9 @@ BAD = re.compile(
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|prose)(?:$|[\s_-])", re.IGNORECASE)
 _PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|</?[A-Za-z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>|<[/A-Za-z!?][^>]*\Z|[^<]+|<", re.DOTALL | re.IGNORECASE)
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
-_NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+#: Fixed value: elements that may stand in a head; any other that opens, and text, ends it.
+IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template"}
 N_FEATURES = 14
 
 
@@ -68,13 +70,13 @@ class Block:
 def _element(tag: str, raw: str, number: int) -> Element:
     bad = good = hidden = False
     if len(raw) > len(tag) + 2:
-        for m in _NAMES.finditer(raw):
+        for m in _ATTRIBUTE.finditer(raw, len(tag) + 1, len(raw) - 1):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 hidden = True
             elif name == "style":
                 hidden = hidden or "display:none" in value.replace(" ", "").lower()
-            elif name != "aria-hidden":
+            elif name in ("class", "id", "role") and tag not in ("html", "body"):
                 bad, good = bad or bool(BAD.search(value)), good or bool(GOOD.search(value))
     return Element(tag, number, bad, good, hidden or tag in HIDDEN)
 
@@ -104,6 +106,8 @@ def blocks_of(html: str) -> list[Block]:
     for m in _PARTS.finditer(html):
         part = m[0]
         if part[0] != "<" or part == "<":
+            if stack and stack[-1].tag == "head" and part.strip():
+                pop()
             if not hidden:
                 text = unescape(part)
                 parts.append(text)
@@ -113,6 +117,9 @@ def blocks_of(html: str) -> list[Block]:
         if m[1] or not (tag := _TAG.match(part)) or part[-1] != ">":
             continue
         name = tag[2].lower()
+        if not tag[1] and name not in IN_HEAD:
+            while stack and (stack[-1].tag == "head" or name == "body" and any(e.tag == "head" for e in stack)):
+                pop()
         if name in BLOCKS:
             flush()
         elif name == "br":
