@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 
 WINDOW = 2048
 END_ID = 1
+#: Fixed value: the added token of byte_bpe_50k and its id.
+SPECIAL = {"<|endoftext|>": 50256}
 #: Pieces and token bytes that one batch holds at most.
 BATCH_PIECES, BATCH_BYTES = 16_384, 64 << 20
 #: Windows with more than this many free tokens are topped up.
@@ -43,15 +45,18 @@ class BytePairEncoder(dict):
 
     The pre-tokenizer never joins what stands before a single space with what follows, so
     a text is the concatenation of its space-led chunks, and chunks are kept once encoded.
-    Strings of special tokens in a text are ordinary text.
+    Strings of special tokens are ordinary text to ``encode`` and tokens to ``encode_all``.
     """
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, special: dict[str, int] | None = None) -> None:
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.special = {t: np.array([i], "<u4").tobytes() for t, i in (special or {}).items()}
+        longest = sorted(self.special, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
 
     def plain(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
@@ -68,18 +73,25 @@ class BytePairEncoder(dict):
         chunks = _SAFE.split(text) if _ODD.search(text) else text.split(" ")
         return self.plain(chunks[0]) + b"".join([self[c] for c in chunks[1:]])
 
+    def encode_all(self, text: str) -> bytes:
+        """Ids of a text in which special tokens stand for themselves, as the tokenizer has it when loaded."""
+        if not self.cut or not any(t in text for t in self.special):
+            return self.encode(text)
+        return b"".join([self.special[t] if k % 2 else self.encode(t) for k, t in enumerate(self.cut.split(text))])
+
 
 _encoders: dict[tuple[str, str], BytePairEncoder] = {}
 
 
 def encoder(path: str | None = None, pattern: str | None = None) -> BytePairEncoder:
     """The encoder of a rank file, loaded once a process; by default the public byte_bpe_50k."""
+    special = None
     if path is None:
         import public_tokenizers
 
-        path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+        path, pattern, special = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, SPECIAL
     if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = BytePairEncoder(path, pattern)
+        _encoders[path, pattern] = BytePairEncoder(path, pattern, special)
     return _encoders[path, pattern]
 
 
@@ -205,13 +217,14 @@ def pack_documents(df: DataFrame, window: int = WINDOW, ranks: str | None = None
     each id of a document lies in exactly one piece. A null or empty text is one end id. A
     null doc_id is kept as null, repeated rows are packed one by one, an empty table gives
     no rows, and other columns are not looked at. sequence_id is unique over the result: the
-    partition's number, then a count. Texts of any length are encoded whole. ``ranks`` and
-    ``pattern`` name another rank file and its pre-tokenizer.
+    partition's number, then a count. Texts of any length are encoded whole; where
+    ``<|endoftext|>`` stands in one, it is its token. ``ranks`` and
+    ``pattern`` name another rank file and its pre-tokenizer, without special tokens.
     """
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sequence = encoder(ranks, pattern).encode, TaskContext.get().partitionId() << 40
+        encode, sequence = encoder(ranks, pattern).encode_all, TaskContext.get().partitionId() << 40
         docs: list[tuple[int | None, bytes]] = []
         held = 0
         for batch in batches:
