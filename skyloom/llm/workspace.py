@@ -19,14 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialise(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+def materialise(spark: SparkSession, df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, which also cuts its lineage.
 
     Unlike ``checkpoint()`` this computes ``df`` a single time, and a lost executor
     costs nothing that has been written.
     """
     path = f"{shared_dir(spark)}/skyloom-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.skyloom_path = path
     return out

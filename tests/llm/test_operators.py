@@ -511,8 +511,8 @@ def edits(a, b):
     return row[-1]
 
 
-def plain_lines(docs):
-    """What is left of each document, by comparing all pairs of lines."""
+def plain_lines(docs, similarity=0.8):
+    """What is left of each document, by comparing all pairs of lines by edits alone."""
     seen = {}
     for doc_id, text in docs:
         for place, line in enumerate((text or "").split("\n") if text is not None else []):
@@ -520,16 +520,11 @@ def plain_lines(docs):
                 seen.setdefault(w, []).append((doc_id is not None, doc_id or 0, place))
     names = list(seen)
 
-    def sim(w):
-        hashes = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in w.split()]
-        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
     root = list(range(len(names)))
-    sims = [sim(w) for w in names]
     split = [w.split() for w in names]
     for i, j in itertools.combinations(range(len(names)), 2):
         n = max(len(split[i]), len(split[j]))
-        if min(len(split[i]), len(split[j])) >= 5 and (sims[i] ^ sims[j]).bit_count() <= 3 and edits(split[i], split[j]) <= 0.2 * n + 1e-9:
+        if abs(len(split[i]) - len(split[j])) <= (1 - similarity) * n and edits(split[i], split[j]) <= (1 - similarity) * n + 1e-9:
             a, b = sorted((root[i], root[j]))
             root = [a if r == b else r for r in root]
     groups = defaultdict(list)
@@ -574,6 +569,17 @@ def test_lines_equal_brute_force(spark, empty):
     assert lines.deduplicate_lines(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("similarity", [0.6, 0.9])
+def test_lines_of_another_similarity_equal_brute_force(spark, similarity):
+    docs = line_documents()[::2] + [(80, "one two"), (81, "one two three"), (82, "six of these words differ now"), (83, "six of these words differ not at all")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_lines", F.lit(7)).withColumn("size", F.lit(0)).withColumn("row", F.lit("r"))
+    got = lines.deduplicate_lines(spark, df, similarity).collect()
+    assert {r.doc_id: r.text for r in got} == plain_lines(docs, similarity)
+    assert all(r["size"] == 0 and r["row"] == "r" and r.n_lines != 7 for r in got)
+    with pytest.raises(ValueError):
+        lines.deduplicate_lines(spark, df, 0.5)
+
+
 def test_lines_of_equal_rows_and_long_lines(spark):
     long = "word " * 40_000 + "end"
     rows = [(1, f"{long}\nkept here"), (2, f"{long.upper()}\nother"), (3, "same row"), (3, "same row"), (4, "The " * 9000), (5, "The " * 9500)]
@@ -584,6 +590,7 @@ def test_lines_of_equal_rows_and_long_lines(spark):
 
 
 def test_word_codes(spark):
-    row = spark.range(1).select(F.char_length(lines.word_codes(F.lit("a b c a"))).alias("n"), lines.word_codes(F.lit("a b c a")).alias("code")).first()
+    code = lines.word_codes(F.transform(F.split(F.lit("a b c a"), " "), lines._word_hash))
+    row = spark.range(1).select(F.char_length(code).alias("n"), code.alias("code")).first()
     assert row.n == 4 and row.code[0] == row.code[3] != row.code[1]
     assert json.dumps(row.code)

@@ -2,7 +2,8 @@
 
 import corpus_pipeline as pipeline
 import pytest
-from test_operators import AWKWARD, DOC, brute_tiles, check_packed, plain_components, plain_fingerprint, plain_lines, plain_words
+from test_copies import plain_first
+from test_operators import AWKWARD, DOC, brute_tiles, check_packed, plain_lines, plain_words
 
 from skyloom.llm import queries
 
@@ -37,13 +38,7 @@ def test_stages(spark, small, extra, tmp_path):
             assert {r["doc_id"]: r["text"] for r in after} == expected
             assert all(r["n_chars"] == len(r["text"]) for r in after)
         elif name == "near_duplicates":
-            fps = [plain_fingerprint(r["text"]) for r in before]
-            roots = plain_components(set(fps))
-            first = {}
-            for r, f in zip(before, fps, strict=True):
-                k = (r["doc_id"] is None, r["doc_id"] or 0)
-                first[roots[f]] = min(first.get(roots[f], k), k)
-            assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in after) == sorted(first.values())
+            assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in after) == plain_first([(r["doc_id"], r["text"]) for r in before])
         elif name == "decontamination":
 
             def leaks(text):
