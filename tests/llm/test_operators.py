@@ -561,7 +561,7 @@ def test_lines_equal_brute_force(spark, empty):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("line", F.lit("x")).withColumn("place", F.lit(1))
     expected = plain_lines(docs)
     for part in (500, 4):
-        got = lines.deduplicate_lines(spark, df, part=part).collect()
+        got = lines.deduplicate_lines(spark, df, part=part, bucket_part=part).collect()
         assert {r.doc_id: r.text for r in got} == expected and len(got) == len(docs)
         for r in got:
             whole = dict(docs)[r.doc_id]
