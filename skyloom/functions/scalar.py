@@ -15,8 +15,7 @@ def guarded(bad: Column, value: Column, message: str) -> Column:
 
 def integer_divide(a: Column, b: Column) -> Column:
     """Quotient of integers, cut towards zero; division by zero is an error."""
-    exact = (a - a % b) / b
-    return guarded(b == 0, exact, "division by zero").cast("long")
+    return guarded(b == 0, F.call_function("div", a, b), "division by zero")
 
 
 def modulo(a: Column, b: Column) -> Column:
@@ -48,12 +47,25 @@ def exponential(x: Column) -> Column:
     return guarded(x > math.log(1.7976931348623157e308), F.exp(x), "value out of range: overflow")
 
 
+#: From here on every double is a whole number.
+WHOLE = float(1 << 53)
+
+
+def _unless_whole(x: Column, cut: Column) -> Column:
+    return F.when(F.abs(x) >= WHOLE, x.cast("double")).otherwise(cut.cast("double"))
+
+
 def ceiling(x: Column) -> Column:
-    return F.ceil(x).cast("double")
+    return _unless_whole(x, F.ceil(x))
 
 
 def floor(x: Column) -> Column:
-    return F.floor(x).cast("double")
+    return _unless_whole(x, F.floor(x))
+
+
+def round_to(x: Column, digits: int) -> Column:
+    """A decimal to a number of digits, which may be negative, ties away from zero."""
+    return F.round(x, digits)
 
 
 def round_even(x: Column) -> Column:
@@ -63,7 +75,9 @@ def round_even(x: Column) -> Column:
 
 def truncate(x: Column, digits: int = 0) -> Column:
     scale = F.lit(float(10**digits))
-    return F.signum(x) * F.floor(F.abs(x) * scale).cast("double") / scale
+    cut = F.signum(x) * F.floor(F.abs(x) * scale).cast("double") / scale
+    # beyond that, no digit is left to cut
+    return F.when(F.abs(x) >= WHOLE / 10**digits, x.cast("double")).otherwise(cut)
 
 
 def cotangent(x: Column) -> Column:
@@ -109,7 +123,7 @@ def percent_encode(text: Column) -> Column:
     return F.when(text.rlike(r"^[A-Za-z0-9._~-]*$"), text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
 
 
-def keyed_random(*parts: Column) -> Column:
-    """A number of 0 to 1 that depends on the parts alone, by the first 31 bits of their MD5."""
-    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+def keyed_random(seed: Column, number: Column, salt: Column) -> Column:
+    """A number of 0 to 1 that depends on seed, number and salt alone, by the first 31 bits of the MD5 of seed:number:salt."""
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in (seed, number, salt)]))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(0x7FFFFFFF)) / F.lit(float(1 << 31))

@@ -19,7 +19,7 @@ REGION = "struct<kind:string,v:array<double>>"
 
 
 def _column(x: Column | float) -> Column:
-    return x if isinstance(x, Column) else F.lit(float(x))
+    return x if isinstance(x, Column) else F.lit(None).cast("double") if x is None else F.lit(float(x))
 
 
 def separation(ra1, dec1, ra2, dec2) -> Column:
@@ -59,12 +59,13 @@ def in_range(ra: Column, low: float, high: float) -> Column:
     return ra.between(low, high) if low <= high else (ra >= low) | (ra <= high)
 
 
-def in_box(ra: Column, dec: Column, ra0: float, dec0: float, width: float, height: float) -> Column:
-    """Whether a position lies in a box about a centre, with edges of constant ra and dec; it may not pass a pole."""
-    if abs(dec0) + height / 2 > 90:
+def in_box(ra: Column, dec: Column, ra0: float, dec0: float, width: float, height: float, clamp: bool = False) -> Column:
+    """Whether a position lies in a box about a centre, with edges of constant ra and dec; ``clamp`` ends it at a pole that it would pass."""
+    if not clamp and abs(dec0) + height / 2 > 90:
         raise ValueError("the box passes a pole")
     e = EPSILON
-    return dec.between(dec0 - height / 2 - e, dec0 + height / 2 + e) & in_range(ra, ra0 - width / 2 - e, ra0 + width / 2 + e)
+    low, high = max(-90.0, dec0 - height / 2), min(90.0, dec0 + height / 2)
+    return dec.between(low - e, high + e) & in_range(ra, ra0 - width / 2 - e, ra0 + width / 2 + e)
 
 
 def _vector(ra: float, dec: float) -> tuple[float, float, float]:
@@ -133,10 +134,27 @@ def polygon(*numbers) -> Column:
 
 
 def box(ra: float, dec: float, width: float, height: float) -> Column:
-    corners = ra - width / 2, dec - height / 2, ra + width / 2, dec + height / 2
+    """A box about a centre; it ends at a pole that it would pass, and is less than 180 degrees wide."""
+    if not (0 < width < 180 and height > 0):
+        raise ValueError("a box is more than 0 and less than 180 degrees wide")
+    corners = ra - width / 2, max(-90.0, dec - height / 2), ra + width / 2, min(90.0, dec + height / 2)
     return F.struct(F.lit("B").alias("kind"), F.array(*map(F.lit, map(float, corners))).alias("v"))
 
 
+def as_polygon(region: Column) -> Column:
+    """A box as the polygon of its corners, of three where it ends at a pole; other regions as they are."""
+
+    def of(r: Column) -> Column:
+        w, s, e, n = (F.get(r["v"], F.lit(i)) for i in range(4))
+        south = F.when(s <= -90, F.array(w, s)).otherwise(F.array(w, s, e, s))
+        north = F.when(n >= 90, F.array(w, n)).otherwise(F.array(e, n, w, n))
+        whole = F.array(w, s, e, (s + n) / 2, w, n, w, (s + n) / 2)
+        around = F.when((s <= -90) & (n >= 90), whole).when(s <= -90, F.concat(south, north)).otherwise(F.concat(south, north))
+        return F.when(r["kind"] == "B", F.struct(F.lit("G").alias("kind"), around.alias("v"))).otherwise(r)
+
+    return _let(region, of)
+
+
 def coordinates(region: Column) -> Column:
     """The numbers of a region, as a result shows them."""
     return region["v"]
@@ -243,7 +261,8 @@ def _edges_cross(x: Column, y: Column) -> Column:
 
 
 def intersects(a: Column, b: Column) -> Column:
-    """Whether two regions share a position: points, circles and convex polygons, in any pairing."""
+    """Whether two regions share a position: points, circles, boxes (as polygons of their corners) and convex polygons, in any pairing."""
+    a, b = as_polygon(a), as_polygon(b)
 
     def ordered(pair: Column) -> Column:
         # the polygon, if there is one, is x; a point is y unless both are
@@ -260,9 +279,11 @@ def intersects(a: Column, b: Column) -> Column:
             .otherwise(inside(x, y) | inside(y, x) | _edges_cross(xv, yv))
         )
 
-    swap = (b["kind"] == "G") & (a["kind"] != "G")
-    pair = F.struct(F.when(swap, b).otherwise(a).alias("x"), F.when(swap, a).otherwise(b).alias("y"))
-    return _let(pair, ordered)
+    def swapped(p: Column) -> Column:
+        swap = (p["b"]["kind"] == "G") & (p["a"]["kind"] != "G")
+        return _let(F.struct(F.when(swap, p["b"]).otherwise(p["a"]).alias("x"), F.when(swap, p["a"]).otherwise(p["b"]).alias("y")), ordered)
+
+    return _let(F.struct(a.alias("a"), b.alias("b")), swapped)
 
 
 def circle_area(radius) -> Column:
@@ -289,8 +310,19 @@ def polygon_area(region: Column) -> Column:
     return _let(_vertices(region["v"]), area) * (180 / math.pi) ** 2
 
 
+def area(region: Column) -> Column:
+    """Square degrees of any region; 0 of a point."""
+
+    def of(r: Column) -> Column:
+        w, s, e, n = (F.get(r["v"], F.lit(i)) for i in range(4))
+        box_ = F.radians(e - w) * (F.sin(F.radians(n)) - F.sin(F.radians(s))) * (180 / math.pi) ** 2
+        return F.when(r["kind"] == "P", F.lit(0.0)).when(r["kind"] == "C", circle_area(e)).when(r["kind"] == "B", box_).when(r["kind"] == "G", polygon_area(r))
+
+    return _let(region, of)
+
+
 def centroid(region: Column) -> Column:
-    """The centre of a circle or point; of a polygon, the direction of the sum of its vertices."""
+    """The centre of a circle, point or box; of a polygon, the direction of the sum of its vertices."""
     v = region["v"]
     zero = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
 
@@ -299,11 +331,35 @@ def centroid(region: Column) -> Column:
         return point(F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)), F.degrees(F.atan2(z, F.sqrt(x * x + y * y))))
 
     total = F.aggregate(_vertices(v), zero, lambda t, x: F.zip_with(t, x, lambda a, b: a + b))
-    return F.when(region["kind"] == "G", _let(total, middle)).otherwise(point(F.get(v, F.lit(0)), F.get(v, F.lit(1))))
+    first, second = F.get(v, F.lit(0)), F.get(v, F.lit(1))
+    box_ = point(F.pmod((first + F.get(v, F.lit(2))) / 2, F.lit(360.0)), (second + F.get(v, F.lit(3))) / 2)
+    return F.when(region["kind"] == "G", _let(total, middle)).when(region["kind"] == "B", box_).otherwise(point(first, second))
+
+
+def _ring(v: Column) -> Column:
+    """A polygon's numbers without its closing and repeated vertices."""
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 2).cast("int") - 1), lambda i: F.array(F.get(v, 2 * i), F.get(v, 2 * i + 1)))
+    return F.flatten(F.array_distinct(pairs))
+
+
+def is_convex(v: Column) -> Column:
+    """Whether all vertices of a polygon lie on one side of each of its edges."""
+
+    def of(points: Column) -> Column:
+        def one_sided(e: Column) -> Column:
+            return _let(F.transform(points, lambda p: _dot(e["n"], p)), lambda s: F.struct(F.forall(s, lambda x: x >= -1e-9).alias("l"), F.forall(s, lambda x: x <= 1e-9).alias("r")))
+
+        return _let(F.transform(_edges(points), one_sided), lambda t: F.forall(t, lambda x: x["l"]) | F.forall(t, lambda x: x["r"]))
 
+    return _let(_vertices(v), of)
 
-def parse_region(text: Column) -> Column:
-    """A region of ``CIRCLE``, ``POLYGON`` or ``POSITION`` text, with or without ICRS; null if it is malformed or out of range."""
+
+def parse_region(text: Column, convex: bool = True) -> Column:
+    """A region of ``CIRCLE``, ``POLYGON`` or ``POSITION`` text, with or without ICRS; null if it is malformed or out of range.
+
+    Closing and repeated vertices are left out. A polygon that is not convex is null too,
+    because ``contains`` and ``intersects`` need convex ones; ``convex`` False keeps it.
+    """
     parts = F.split(F.upper(F.trim(text)), r"\s+")
     start = F.when(F.get(parts, F.lit(1)) == "ICRS", 3).otherwise(2)
     numbers = F.transform(F.slice(parts, start, F.greatest(F.size(parts), F.lit(1))), lambda x: x.try_cast("double"))
@@ -319,7 +375,40 @@ def parse_region(text: Column) -> Column:
         .when((kind == "POLYGON") & (F.size(numbers) >= 6) & (F.size(numbers) % 2 == 0), F.lit("G"))
         .when((kind == "POSITION") & (F.size(numbers) == 2), F.lit("P"))
     )
-    return F.when(sane & ranged & named.isNotNull(), F.struct(named.alias("kind"), numbers.alias("v")))
+    told = F.when(sane & ranged & named.isNotNull(), F.struct(named.alias("kind"), F.when(named == "G", _ring(numbers)).otherwise(numbers).alias("v")))
+
+    def kept(r: Column) -> Column:
+        held = is_convex(r["v"]) if convex else F.lit(True)
+        return F.when(r["kind"] != "G", r).when(F.size(r["v"]) < 6, F.lit(None)).when(held, r)
+
+    return _let(told, kept)
+
+
+#: Radius in degrees of the polygon that stands for a position.
+POSITION_RADIUS = 0.05 / 3600
+
+
+def region_polygon(region: Column) -> Column:
+    """A region as a polygon: a circle has 32 vertices, a position 8 at 0.05 seconds of arc."""
+
+    def of(r: Column) -> Column:
+        ra, dec, radius = (F.get(r["v"], F.lit(i)) for i in range(3))
+        v = F.when(r["kind"] == "C", circle_vertices(ra, dec, radius, 32)).when(r["kind"] == "P", circle_vertices(ra, dec, POSITION_RADIUS, 8))
+        return F.when(r["kind"].isin("C", "P"), F.struct(F.lit("G").alias("kind"), v.alias("v"))).otherwise(as_polygon(r))
+
+    return _let(region, of)
+
+
+#: Names of result columns that a query gives no name.
+OUTPUT_NAMES = {
+    "POINT": "adql_point", "CIRCLE": "circle", "POLYGON": "adql_polygon", "BOX": "adql_polygon", "AREA": "adql_area", "DISTANCE": "distance", "CENTROID": "centroid",
+    "COUNT": "count",
+}
+
+
+def named(function: str, value: Column) -> Column:
+    """``value`` under the name that a result of this function has by default, ``?column?`` if it has none."""
+    return value.alias(OUTPUT_NAMES.get(function.upper(), "?column?"))
 
 
 def circle_vertices(ra, dec, radius, n: int = 32) -> Column:
@@ -372,3 +461,8 @@ def propagate(ra, dec, parallax, pm_ra, pm_dec, radial_velocity, epoch, to_epoch
         reduce(Column.__add__, [q1[i] * w[i] for i in range(3)]) / mas,
         F.when(near & (plx > 0), rv),
     )
+
+
+def propagate_position(ra, dec, pm_ra, pm_dec, epoch, to_epoch) -> Column:
+    """A position at another epoch, as a point, where neither parallax nor velocity is known."""
+    return _let(propagate(ra, dec, None, pm_ra, pm_dec, None, epoch, to_epoch), lambda s: point(F.get(s, F.lit(0)), F.get(s, F.lit(1))))

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.functions.sky import EPSILON, _let, centroid, intersects, separation
+from skyloom.functions.sky import EPSILON, _let, as_polygon, centroid, intersects, separation
 
 #: Zones are not thinner than this many degrees.
 THINNEST = 1 / 3600
@@ -93,7 +93,7 @@ def bounding_circle(region: Column) -> Column:
 
         return _let(centroid(r)["v"], about)
 
-    return _let(region, of)
+    return _let(as_polygon(region), of)
 
 
 def overlap_join(left: DataFrame, right: DataFrame, left_region: str, right_region: str, cell_degrees: float = 2.0) -> DataFrame:

@@ -26,7 +26,7 @@ def limited(df: DataFrame, max_records: int | None, default: int = 10_000, ceili
     if max_records is not None and max_records < 0:
         raise ValueError("the limit may not be negative")
     n = min(default if max_records is None else max_records, ceiling)
-    return df.limit(n + 1 if n else 0)
+    return df.limit(n + 1)
 
 
 def first_by(value: str, order: str | Column, where: Column | None = None) -> Column:
@@ -36,6 +36,25 @@ def first_by(value: str, order: str | Column, where: Column | None = None) -> Co
     return F.min_by(value, F.when(where, F.col(order) if isinstance(order, str) else order))
 
 
+def not_in(df: DataFrame, column: str, found: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose column is not among the keys of ``found``, as NOT IN has it.
+
+    If there is a null key, no row is certain and none is kept; a null column is kept only
+    where there are no keys at all. The keys' counts are a single row.
+    """
+    counts = found.agg(F.count("*").alias("keys_"), F.count(key).alias("known_"))
+    certain = df.crossJoin(F.broadcast(counts)).filter((F.col("keys_") == 0) | ((F.col("keys_") == F.col("known_")) & F.col(column).isNotNull()))
+    keys = found.select(F.col(key).alias("key_"))
+    return certain.drop("keys_", "known_").join(keys, F.col(column) == F.col("key_"), "left_anti")
+
+
+def json_rows(df: DataFrame, keys: list[str], columns: list[str], order: list[str], name: str = "rows") -> DataFrame:
+    """The rows of each key as one JSON array of objects, in order."""
+    row = F.struct(F.struct(*order).alias("order"), F.struct(*columns).alias("row"))
+    rows = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["row"])
+    return df.groupBy(*keys).agg(F.to_json(rows).alias(name))
+
+
 def exact_sum(column: str) -> Column:
     """Sum of longs that cannot overflow, as a double."""
     return F.sum(F.col(column).cast("decimal(38,0)")).cast("double")

@@ -18,6 +18,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+#: Schemas by path, so that footers are read once.
+_SCHEMAS: dict = {}
+
+
 class Tables:
     """The parquet tables of a folder as attributes."""
 
@@ -25,7 +29,10 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def query(sql: str | None = None):
@@ -109,9 +116,15 @@ def in_subquery(t):
     return t.orders.join(rich, c("o_custkey") == c("c_custkey"), "left_semi").select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE nullif(c_custkey % 10, 3) NOT IN (SELECT o_custkey % 7 FROM orders WHERE o_custkey % 7 > 4)")
 def not_in_subquery(t):
-    return t.customer.join(t.orders.filter("o_custkey is not null"), c("o_custkey") == c("c_custkey"), "left_anti").select("c_custkey")
+    customers = t.customer.select("c_custkey", F.nullif(c("c_custkey") % 10, F.lit(3)).alias("k"))
+    return relational.not_in(customers, "k", t.orders.select((c("o_custkey") % 7).alias("x")).filter("x > 4").distinct(), "x").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM orders)")
+def not_in_with_null(t):
+    return relational.not_in(t.customer, "c_custkey", t.orders.select(F.nullif("o_custkey", F.lit(1)).alias("x")), "x").select("c_custkey")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_name LIKE '%1_'")
@@ -136,9 +149,9 @@ def exists_correlated(t):
     return t.customer.join(t.orders, (c("o_custkey") == c("c_custkey")) & (c("o_totalprice") > c("c_acctbal")), "left_semi").select("c_custkey")
 
 
-@query("SELECT s_suppkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 49)")
+@query("SELECT s_suppkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 49 AND l.l_orderkey % 20 = 0)")
 def not_exists(t):
-    return t.supplier.join(t.lineitem.filter("l_quantity > 49"), c("l_suppkey") == c("s_suppkey"), "left_anti").select("s_suppkey")
+    return t.supplier.join(t.lineitem.filter("l_quantity > 49 and l_orderkey % 20 = 0"), c("l_suppkey") == c("s_suppkey"), "left_anti").select("s_suppkey")
 
 
 # Joins
@@ -214,10 +227,10 @@ def chain_join_5level(t):
     return joined.groupBy("r_name", "o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-@query(f"SELECT l_orderkey, l_linenumber, c_name, l_extendedprice FROM {_CHAIN} WHERE r_name = 'EUROPE' ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100")
+@query(f"SELECT l_orderkey, l_linenumber, c_name, l_extendedprice FROM {_CHAIN} WHERE r_name = 'EUROPE' ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber")
 def chain_join_sorted(t):
     joined = _chain(t).filter("r_name = 'EUROPE'").select("l_orderkey", "l_linenumber", "c_name", "l_extendedprice")
-    return joined.orderBy(descending("l_extendedprice"), "l_orderkey", "l_linenumber").limit(100)
+    return joined.orderBy(descending("l_extendedprice"), "l_orderkey", "l_linenumber")
 
 
 @query("SELECT s, n FROM (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1) d WHERE n > 10")
@@ -279,14 +292,14 @@ def _sorted(t):
     return t.customer.join(t.orders.filter("o_totalprice > 150000"), c("c_custkey") == c("o_custkey"), "left")
 
 
-@query(f"SELECT c_custkey, o_totalprice {_SORTED} ORDER BY o_totalprice NULLS LAST, c_custkey LIMIT 500")
+@query(f"SELECT c_custkey, o_totalprice {_SORTED} ORDER BY o_totalprice NULLS LAST, c_custkey")
 def order_nulls_last(t):
-    return _sorted(t).select("c_custkey", "o_totalprice").orderBy(ascending("o_totalprice"), "c_custkey").limit(500)
+    return _sorted(t).select("c_custkey", "o_totalprice").orderBy(ascending("o_totalprice"), "c_custkey")
 
 
-@query(f"SELECT c_custkey, o_totalprice {_SORTED} ORDER BY o_totalprice DESC NULLS FIRST, c_custkey LIMIT 50")
+@query(f"SELECT c_custkey, o_totalprice {_SORTED} ORDER BY o_totalprice DESC NULLS FIRST, c_custkey")
 def order_nulls_first(t):
-    return _sorted(t).select("c_custkey", "o_totalprice").orderBy(descending("o_totalprice"), "c_custkey").limit(50)
+    return _sorted(t).select("c_custkey", "o_totalprice").orderBy(descending("o_totalprice"), "c_custkey")
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10")
@@ -331,10 +344,9 @@ def union_all(t):
     return a.union(b)
 
 
-@query(" EXCEPT ".join(_SETS))
+@query(f"SELECT n_nationkey AS k FROM nation EXCEPT {_SETS[1]} AND s_nationkey > 9")
 def except_(t):
-    a, b = _sets(t)
-    return a.subtract(b)
+    return t.nation.select(c("n_nationkey").alias("k")).subtract(_sets(t)[1].filter("k > 9"))
 
 
 @query(" EXCEPT ALL ".join(_SETS))
@@ -426,12 +438,12 @@ def concat_case(t):
 
 
 @query(
-    "SELECT o_orderkey, CAST(round_even(o_totalprice, 0) AS INTEGER) AS i, CAST(o_orderkey AS SMALLINT) AS s, CAST(o_totalprice AS FLOAT) AS f, rpad(left(o_orderpriority, 3), 3, ' ') AS ch, "
-    "left(o_orderpriority, 4) AS vc, CAST('2000-01-02 03:04:05' AS TIMESTAMP) AS ts FROM orders WHERE o_orderkey < 30000"
+    "SELECT o_orderkey, CAST(round_even(o_totalprice, 0) AS INTEGER) AS i, CAST(o_orderkey % 30000 AS SMALLINT) AS s, CAST(o_totalprice AS FLOAT) AS f, rpad(left(o_orderpriority, 3), 3, ' ') AS ch, "
+    "left(o_orderpriority, 4) AS vc, CAST('2000-01-02 03:04:05' AS TIMESTAMP) AS ts FROM orders"
 )
 def cast_matrix(t):
-    return t.orders.filter("o_orderkey < 30000").select(
-        "o_orderkey", scalar.to_integer(c("o_totalprice")).alias("i"), c("o_orderkey").cast("short").alias("s"), c("o_totalprice").cast("float").alias("f"),
+    return t.orders.select(
+        "o_orderkey", scalar.to_integer(c("o_totalprice")).alias("i"), (c("o_orderkey") % 30000).cast("short").alias("s"), c("o_totalprice").cast("float").alias("f"),
         scalar.to_char(c("o_orderpriority"), 3).alias("ch"), scalar.to_varchar(c("o_orderpriority"), 4).alias("vc"), F.lit("2000-01-02 03:04:05").cast("timestamp_ntz").alias("ts"),
     )
 
@@ -448,7 +460,33 @@ def percent_encoding(t):
 
 @query()
 def random_numbers(t):
-    return t.nation.select("n_nationkey", F.rand(7).alias("r"), scalar.keyed_random(c("n_nationkey"), F.lit("ra")).alias("k"))
+    return t.nation.select("n_nationkey", F.rand(7).alias("r"), scalar.keyed_random(F.lit(42), c("n_nationkey"), F.lit("ra")).alias("k"))
+
+
+@query("SELECT n_nationkey, (CAST('0x' || left(md5('42:' || n_nationkey || ':ra'), 8) AS BIGINT) & 2147483647) / 2147483648.0::DOUBLE AS k FROM nation")
+def keyed_numbers(t):
+    return t.nation.select("n_nationkey", scalar.keyed_random(F.lit(42), c("n_nationkey"), F.lit("ra")).alias("k"))
+
+
+@query("SELECT o_orderstatus, round(avg(DISTINCT o_custkey), 6) AS mean FROM orders GROUP BY 1")
+def avg_distinct(t):
+    return t.orders.groupBy("o_orderstatus").agg(F.round(F.expr("avg(DISTINCT o_custkey)"), 6).alias("mean"))
+
+
+@query("SELECT p_partkey, CAST(round(CAST(p_retailprice AS DECIMAL(12, 2)), 1) AS DOUBLE) AS near, CAST(round(CAST(p_retailprice AS DECIMAL(12, 2)), -2) AS DOUBLE) AS far FROM part")
+def round_digits(t):
+    price = c("p_retailprice").cast("decimal(12,2)")
+    return t.part.select("p_partkey", scalar.round_to(price, 1).cast("double").alias("near"), scalar.round_to(price, -2).cast("double").alias("far"))
+
+
+@query("SELECT n_regionkey, CAST(to_json(list({'n_nationkey': n_nationkey, 'n_name': n_name} ORDER BY n_name)) AS VARCHAR) AS rows FROM nation GROUP BY 1")
+def json_aggregation(t):
+    return relational.json_rows(t.nation, ["n_regionkey"], ["n_nationkey", "n_name"], ["n_name"])
+
+
+@query("SELECT p_partkey FROM part WHERE p_size > 10 AND (p_size % 2 = 0) = TRUE")
+def boolean_value(t):
+    return t.part.withColumn("even", c("p_size") % 2 == 0).filter((c("p_size") > 10) & c("even")).select("p_partkey")
 
 
 # Geometry
