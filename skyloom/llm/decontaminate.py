@@ -55,15 +55,17 @@ def window_hashes(ids: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def tiles(item: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
+def tiles(item: np.ndarray, doc: np.ndarray, seeds: np.ndarray | list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in item, place in doc, length) of the tiles, the longest first.
 
     ``seeds`` are the places where a window of ``least`` words begins in both. Matches of equal
     length are taken by their places.
     """
-    if not seeds:
+    if not len(seeds):
         return []
-    seed_set = np.unique(np.array(seeds, np.int64), axis=0)
+    pairs = np.asarray(seeds, np.int64)
+    places = np.unique(pairs[:, 0] * len(doc) + pairs[:, 1])
+    seed_set = np.stack([places // len(doc), places % len(doc)], axis=1)
     diagonal = seed_set[:, 1] - seed_set[:, 0]
     order = np.lexsort((seed_set[:, 0], diagonal))
     seed_set, diagonal = seed_set[order], diagonal[order]
@@ -147,23 +149,21 @@ class Slice:
                 r, t = int(row[a]), int(item[a])
                 doc, x = numbers[offsets[r] : offsets[r + 1]], self.items[t]
                 d0 = int(offsets[r])
-                seeds = [
-                    (int(i), int(j) - d0)
-                    for i, j in zip(start[a:b], doc_at[a:b], strict=True)
-                    if (x[i : i + k] == numbers[j : j + k]).all()  # hashes may agree by chance
-                ]
-                yield r, t, tiles(x, doc, seeds, k), len(x)
+                same = np.ones(b - a, bool)
+                for w in range(k):  # hashes may agree by chance
+                    same &= x[start[a:b] + w] == numbers[doc_at[a:b] + w]
+                yield r, t, tiles(x, doc, np.stack([start[a:b][same], doc_at[a:b][same] - d0], axis=1), k), len(x)
 
 
 def slices(benchmark: DataFrame, least: int = SEED_WORDS, chars: int = SLICE_CHARS) -> Iterator[Slice]:
-    """The benchmark (item_id, text) in slices of at most about ``chars`` characters, dealt by a hash of the text.
+    """The benchmark (item_id, text) in slices of at most about ``chars`` characters, dealt by a hash of id and text, so that copies are spread.
 
     Items without a word are left out; no document can hold them.
     """
     total = benchmark.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = max(1, -(-total * 2 // chars)) if total > chars else 1
     for k in range(n):
-        rows = benchmark.select("item_id", "text").filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()
+        rows = benchmark.select("item_id", "text").filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         rows.sort(key=lambda r: (r.item_id is None, r.item_id, r.text or ""))
         words, offsets = words_of(pa.array([r.text for r in rows], pa.string()))
         if not len(words):

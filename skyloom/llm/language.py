@@ -2,8 +2,9 @@
 
 A text is a normalised TF-IDF vector of hashed letter n-grams. Each language has several
 centroids, found by spherical k-means over a bounded, hash-chosen sample of labelled rows.
-The language of the centroid with the largest cosine wins; a text farther from it than
-any learned text is, with a margin, is rejected.
+The language of the centroid with the largest cosine wins; a text that is much farther from it
+than learned texts of its length are is rejected, be it of another language or of a few words
+again and again.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ SAMPLE_PER_LANG = 400
 CENTROIDS = 4
 #: Languages whose counts may be broadcast; if there are more, the join is shuffled.
 MOST_LANGS = 10_000
-#: A text is rejected when its cosine is under this share of the least cosine of a learned text.
-MARGIN = 0.25
+#: A text is rejected when its cosine is under this share of the median of learned texts of its length, doubled from bin to bin,
+#: or, with fewer than LEAST_GRAMS n-grams, which tell little, under MARGIN of the least cosine of a learned text.
+SHARE, MARGIN, LEAST_GRAMS = 0.77, 0.25, 1024
+_BINS = 48
 UNKNOWN = "und"
 _GAPS = re.compile(r"[\W\d_]+")
 
@@ -51,7 +54,7 @@ class CentroidModel:
     langs: list[str]
     owner: np.ndarray
     centroids: np.ndarray
-    least: np.ndarray
+    floors: np.ndarray
     idf: np.ndarray
 
     def vectors(self, counts: list[np.ndarray]) -> np.ndarray:
@@ -62,7 +65,22 @@ class CentroidModel:
         cosines = self.vectors(counts) @ self.centroids.T
         best = cosines.argmax(axis=1)
         top = cosines[np.arange(len(best)), best]
-        return [self.langs[self.owner[b]] for b in best], np.clip(top, 0, 1).astype(float), top < self.least[best]
+        rejected = top < self.floors[best, length_bins(counts)]
+        return [self.langs[self.owner[b]] for b in best], np.clip(top, 0, 1).astype(float), rejected
+
+
+def length_bins(counts: list[np.ndarray]) -> np.ndarray:
+    """Doublings of the number of n-grams of each."""
+    return np.log2([max(1, int(c.sum())) for c in counts]).astype(int)
+
+
+def rejection_floors(cosines: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """The least cosine that is accepted, by length bin, of learned texts' cosines; a bin without texts is like the next that has some."""
+    floors = np.full(_BINS, MARGIN * cosines.min())
+    known = np.unique(bins)
+    for b in range(LEAST_GRAMS.bit_length() - 1, _BINS):
+        floors[b] = max(floors[b], SHARE * np.median(cosines[bins == known[np.abs(known - b).argmin()]]))
+    return floors
 
 
 def _k_means(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -86,18 +104,19 @@ def fit_model(counts: list[np.ndarray], langs: list[str], k: int = CENTROIDS) ->
     idf = np.log((1 + len(order)) / (1 + (stack > 0).sum(axis=0))).astype(np.float32) + 1
     x = _unit(np.log1p(stack.astype(np.float32)) * idf)
     names = sorted(set(langs))
-    owner, centres, least = [], [], []
+    bins = length_bins(list(stack))
+    owner, centres, floors = [], [], []
     for n, name in enumerate(names):
         mine = x[labels == name]
         found, cosines = _k_means(mine, k)
         own = cosines.argmax(axis=1)
-        floor = MARGIN * float(cosines.max(axis=1).min())
+        floor = rejection_floors(cosines.max(axis=1), bins[labels == name])
         for j in range(len(found)):
             if (own == j).any():
                 owner.append(n)
                 centres.append(found[j])
-                least.append(floor)
-    return CentroidModel(names, np.array(owner, int), np.array(centres, np.float32).reshape(-1, DIMS), np.array(least), idf)
+                floors.append(floor)
+    return CentroidModel(names, np.array(owner, int), np.array(centres, np.float32).reshape(-1, DIMS), np.array(floors).reshape(-1, _BINS), idf)
 
 
 def is_held_out(doc_id: F.Column | str = "doc_id"):

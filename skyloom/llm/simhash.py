@@ -166,17 +166,21 @@ def link_fingerprints(spark: SparkSession, fps: DataFrame, radius: int = RADIUS,
 
 
 def near_duplicates(spark: SparkSession, df: DataFrame, columns: list[str], radius: int = RADIUS) -> DataFrame:
-    """``columns`` (doc_id among them), fp, root and component_id of every row of ``df``.
+    """``columns``, fp, root and component_id of every row of ``df`` (doc_id, text and any others).
+
+    Columns named fp, root or component_id give way to those of the result.
 
     root is the least fingerprint of the row's component, component_id is the smallest doc_id that is reachable over links of fingerprints that
     differ in at most ``radius`` bits, the row's own included; null only if no doc_id of the
     component is known. Null and empty texts have fingerprint 0 and link like any other.
     Repeated rows are kept, an empty table gives no rows.
     """
-    docs = materialise(spark, with_fingerprints(df, columns), "fingerprints")
-    least = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    asked = [c for c in columns if c not in ("fp", "root", "component_id")]
+    rows = df.select("text", F.col("doc_id").alias("id_"), F.struct("doc_id", *asked).alias("row_") if "doc_id" not in asked else F.struct(*asked).alias("row_"))
+    docs = materialise(spark, with_fingerprints(rows, ["id_", "row_"]), "fingerprints")
+    least = docs.groupBy("fp").agg(F.min("id_").alias("least"))
     roots = link_fingerprints(spark, docs.select("fp").distinct(), radius)
     rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "root", "component_id")
-    return docs.join(named, "fp").select(*columns, "fp", "root", "component_id")
+    return docs.join(named, "fp").select(*[F.col("row_").getField(c).alias(c) for c in asked], "fp", "root", "component_id")
