@@ -3,8 +3,7 @@
 A text is a normalised TF-IDF vector of hashed letter n-grams. Each language has several
 centroids, found by spherical k-means over a bounded, hash-chosen sample of labelled rows.
 The language of the centroid with the largest cosine wins; a text that is much farther from it
-than learned texts of its length are is rejected, be it of another language or of a few words
-again and again.
+than learned texts with as many different n-grams are is rejected.
 """
 
 from __future__ import annotations
@@ -24,10 +23,10 @@ SAMPLE_PER_LANG = 400
 CENTROIDS = 4
 #: Languages whose counts may be broadcast; if there are more, the join is shuffled.
 MOST_LANGS = 10_000
-#: A text is rejected when its cosine is under this share of the median of learned texts of its length, doubled from bin to bin,
-#: or, with fewer than LEAST_GRAMS n-grams, which tell little, under MARGIN of the least cosine of a learned text.
-SHARE, MARGIN, LEAST_GRAMS = 0.77, 0.25, 1024
-_BINS = 48
+#: A text is rejected when its cosine is under this share of the median of learned texts with about as many different n-grams,
+#: or, with fewer than LEAST_GRAMS of them, which tell little, under MARGIN of the least cosine of a learned text.
+SHARE, MARGIN, LEAST_GRAMS = 0.75, 0.25, 363
+_BINS = 2 * DIMS.bit_length()
 UNKNOWN = "und"
 _GAPS = re.compile(r"[\W\d_]+")
 
@@ -65,20 +64,20 @@ class CentroidModel:
         cosines = self.vectors(counts) @ self.centroids.T
         best = cosines.argmax(axis=1)
         top = cosines[np.arange(len(best)), best]
-        rejected = top < self.floors[best, length_bins(counts)]
+        rejected = top < self.floors[best, evidence_bins(counts)]
         return [self.langs[self.owner[b]] for b in best], np.clip(top, 0, 1).astype(float), rejected
 
 
-def length_bins(counts: list[np.ndarray]) -> np.ndarray:
-    """Doublings of the number of n-grams of each."""
-    return np.log2([max(1, int(c.sum())) for c in counts]).astype(int)
+def evidence_bins(counts: list[np.ndarray]) -> np.ndarray:
+    """Half doublings of the number of different n-grams of each."""
+    return (2 * np.log2([max(1, int(np.count_nonzero(c))) for c in counts])).astype(int)
 
 
 def rejection_floors(cosines: np.ndarray, bins: np.ndarray) -> np.ndarray:
-    """The least cosine that is accepted, by length bin, of learned texts' cosines; a bin without texts is like the next that has some."""
+    """The least cosine that is accepted, by evidence bin, of learned texts' cosines; a bin without texts is like the next that has some."""
     floors = np.full(_BINS, MARGIN * cosines.min())
     known = np.unique(bins)
-    for b in range(LEAST_GRAMS.bit_length() - 1, _BINS):
+    for b in range(int(2 * np.log2(LEAST_GRAMS)), _BINS):
         floors[b] = max(floors[b], SHARE * np.median(cosines[bins == known[np.abs(known - b).argmin()]]))
     return floors
 
@@ -104,7 +103,7 @@ def fit_model(counts: list[np.ndarray], langs: list[str], k: int = CENTROIDS) ->
     idf = np.log((1 + len(order)) / (1 + (stack > 0).sum(axis=0))).astype(np.float32) + 1
     x = _unit(np.log1p(stack.astype(np.float32)) * idf)
     names = sorted(set(langs))
-    bins = length_bins(list(stack))
+    bins = evidence_bins(list(stack))
     owner, centres, floors = [], [], []
     for n, name in enumerate(names):
         mine = x[labels == name]
