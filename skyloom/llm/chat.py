@@ -1,8 +1,8 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
 Prefix sums of turn tokens deal the turns of a conversation to spans: a turn belongs to the
-span in which its first token falls, so spans begin and end with turns. A window is a span
-led by the conversation's system turn and by the last turns before the span, as far as the
+span in which its first token falls, so spans begin and end with turns. A last turn with which
+a span would be too long is a span of its own. A window is a span led by the conversation's system turn and by the last turns before the span, as far as the
 history allowance goes. Repeated turns are marked as such and lie outside the loss mask.
 
 Prefix sums are taken in runs of turn numbers first and then over the runs' totals, so a
@@ -68,7 +68,8 @@ def _spans(df: DataFrame, budget: int, history: int) -> DataFrame:
         F.first("lead").over(over)["text"].alias("system"),
         F.sum("sum").over(Window.partitionBy("key", "known")).alias("all"),
     )
-    stride = budget - history
+    stride = F.col("stride")
+    room = F.greatest(F.lit(budget - history) - F.coalesce(turn_tokens(F.col("system")), F.lit(0)), F.lit(1))
     spanned = inside.join(totals, run).select(
         "conv_id",
         "role",
@@ -78,12 +79,19 @@ def _spans(df: DataFrame, budget: int, history: int) -> DataFrame:
         "tokens",
         "all",
         "system",
-    ).withColumn("span", F.floor(F.col("before") / F.lit(stride)))
-    stop = F.max(F.col("before") + F.col("tokens")).over(Window.partitionBy("conv_id", "span"))
-    following = F.floor(F.col("stop") / F.lit(stride))
+        room.alias("stride"),
+    ).withColumn("span", F.floor(F.col("before") / stride) * 2)
+    over_span = Window.partitionBy("conv_id", "span")
+    end = F.col("before") + F.col("tokens")
+    headed = spanned.withColumn("head", F.min("before").over(over_span))
+    late = headed.withColumn("late", (F.col("before") > F.col("head")) & (end - F.col("head") > stride))
+    cut = late.withColumns({"cut": F.max(F.when(F.col("late"), F.col("before"))).over(over_span), "end": F.max(end).over(over_span)})
+    stop = F.when(F.col("late"), end).otherwise(F.coalesce("cut", "end"))
+    following = F.when(~F.col("late") & F.col("cut").isNotNull(), F.col("span") + 1).otherwise(F.floor(F.col("stop") / stride) * 2)
     kept = (F.col("stop") < F.col("all")) & (F.col("stop") - F.col("before") <= history)
     kept = kept & ~((F.col("place") == 1) & F.col("system").isNotNull())
-    return spanned.withColumn("stop", stop).withColumn("next_span", F.when(kept, following))
+    told = cut.withColumn("stop", stop).withColumn("next_span", F.when(kept, following))
+    return told.withColumn("span", F.col("span") + F.col("late").cast("long"))
 
 
 def format_conversations(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, learned: str = "assistant") -> DataFrame:
@@ -92,9 +100,9 @@ def format_conversations(df: DataFrame, budget: int = BUDGET, history: int = HIS
     Rows are turns (conv_id, turn, role, text), ordered by turn (null first), role and text;
     null roles and texts are empty, a null conv_id is a conversation like any other, repeated
     rows are turns of their own, other columns are not looked at. The texts of ``learned``
-    turns are in the loss mask of the one window where they are new. Spans take budget -
-    history tokens, but a turn that begins in a span is never cut, so a window may exceed the
-    budget by its last turn; the system turn comes on top.
+    turns are in the loss mask of the one window where they are new. A window of more than one
+    new turn holds at most ``budget`` tokens, history and system turn counted; a single turn is
+    never cut, so alone it may exceed that. Only a first turn is a system turn that is retained.
     """
     turns = _spans(df, budget, history)
     own = F.struct(F.col("span").alias("window"), F.lit(True).alias("new"))

@@ -129,12 +129,18 @@ WITH t AS (
   SELECT *, CAST(coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before,
     CAST(sum(tokens) OVER (PARTITION BY conv_id) AS BIGINT) AS total,
     first_value(CASE WHEN role = 'system' THEN text END) OVER (PARTITION BY conv_id ORDER BY place) AS system FROM k
-), s AS (SELECT *, before // {chat.BUDGET - chat.HISTORY} AS span FROM p),
-e AS (SELECT *, max(before + tokens) OVER (PARTITION BY conv_id, span) AS stop FROM s),
+), o AS (
+  SELECT *, greatest({chat.BUDGET - chat.HISTORY} - coalesce(CAST(ceil(strlen(system) / {chat.BYTES_PER_TOKEN}.0) AS BIGINT) + {chat.TURN_TOKENS}, 0), 1) AS stride FROM p
+), s AS (SELECT *, before // stride AS part FROM o),
+h AS (SELECT *, min(before) OVER (PARTITION BY conv_id, part) AS head FROM s),
+l AS (SELECT *, before > head AND before + tokens - head > stride AS late FROM h),
+g AS (SELECT *, 2 * part + CAST(late AS BIGINT) AS span FROM l),
+f0 AS (SELECT *, max(before + tokens) OVER (PARTITION BY conv_id, span) AS stop, max(CAST(late AS BIGINT)) OVER (PARTITION BY conv_id, part) AS has_late FROM g),
+e AS (SELECT *, CASE WHEN NOT late AND has_late = 1 THEN span + 1 ELSE 2 * (stop // stride) END AS following FROM f0),
 w AS (
   SELECT conv_id, span AS win, place, {len(chat.NEW)} AS mark, role, text, system FROM e
   UNION ALL
-  SELECT conv_id, stop // {chat.BUDGET - chat.HISTORY}, place, {len(chat.AGAIN)}, role, text, system FROM e
+  SELECT conv_id, following, place, {len(chat.AGAIN)}, role, text, system FROM e
   WHERE stop < total AND stop - before <= {chat.HISTORY} AND NOT (place = 1 AND system IS NOT NULL)
 ), x AS (
   SELECT conv_id, win, place, mark + {len(chat.TEXT) + len(chat.END)}

@@ -426,6 +426,10 @@ def test_chat(spark):
         assert len(r.formatted.encode()) / 4 < chat.BUDGET + 2 * 130
         assert "<again>user" in r.formatted or "<again>assistant" in r.formatted
     assert got[7][4] == sum(len(r.formatted) for r in texts)
+    for r in windows.collect():
+        said = [x.split("<text>") for x in r.formatted.split("</turn>\n")[:-1]]
+        tokens = sum(-(-len(x[1].replace("~1", "<").replace("~0", "~").encode()) // 4) + 4 for x in said)
+        assert tokens <= chat.BUDGET or sum(x[0].startswith(chat.NEW) for x in said) == 1
     assert chat.read_back(chat.format_conversations(df.filter("conv_id = 99"))).count() == 0
 
 
