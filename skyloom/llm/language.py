@@ -26,6 +26,8 @@ MOST_LANGS = 10_000
 #: A text is rejected when its cosine is under this share of the median of learned texts with about as many different n-grams,
 #: or, with fewer than LEAST_GRAMS of them, which tell little, under MARGIN of the least cosine of a learned text.
 SHARE, MARGIN, LEAST_GRAMS = 0.75, 0.25, 363
+#: Learned texts of a language that a median is taken of, at least.
+ENOUGH = 30
 _BINS = 2 * DIMS.bit_length()
 UNKNOWN = "und"
 _GAPS = re.compile(r"[\W\d_]+")
@@ -68,17 +70,27 @@ class CentroidModel:
         return [self.langs[self.owner[b]] for b in best], np.clip(top, 0, 1).astype(float), rejected
 
 
+def _without_own(x: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """Each row's largest cosine to the centroids, to its own as it would be without the row."""
+    own = cosines.argmax(axis=1)
+    sums = np.stack([x[own == j].sum(axis=0) for j in range(cosines.shape[1])])
+    left_out = (x * _unit(sums[own] - x)).sum(axis=1)
+    others = np.where(np.arange(cosines.shape[1]) == own[:, None], -1, cosines).max(axis=1)
+    return np.maximum(left_out, others)
+
+
 def evidence_bins(counts: list[np.ndarray]) -> np.ndarray:
     """Half doublings of the number of different n-grams of each."""
     return (2 * np.log2([max(1, int(np.count_nonzero(c))) for c in counts])).astype(int)
 
 
 def rejection_floors(cosines: np.ndarray, bins: np.ndarray) -> np.ndarray:
-    """The least cosine that is accepted, by evidence bin, of learned texts' cosines; a bin without texts is like the next that has some."""
-    floors = np.full(_BINS, MARGIN * cosines.min())
-    known = np.unique(bins)
-    for b in range(int(2 * np.log2(LEAST_GRAMS)), _BINS):
-        floors[b] = max(floors[b], SHARE * np.median(cosines[bins == known[np.abs(known - b).argmin()]]))
+    """The least cosine that is accepted, by evidence bin, of learned texts' cosines; a bin without ENOUGH texts is like the next below that has them."""
+    floors = np.full(_BINS, MARGIN * max(0.0, cosines.min()))
+    known = np.flatnonzero(np.bincount(bins) >= ENOUGH)
+    known = known[known >= int(2 * np.log2(LEAST_GRAMS))]
+    for b in range(known[0] if len(known) else _BINS, _BINS):
+        floors[b] = max(floors[b], SHARE * np.median(cosines[bins == known[known <= b][-1]]))
     return floors
 
 
@@ -109,7 +121,7 @@ def fit_model(counts: list[np.ndarray], langs: list[str], k: int = CENTROIDS) ->
         mine = x[labels == name]
         found, cosines = _k_means(mine, k)
         own = cosines.argmax(axis=1)
-        floor = rejection_floors(cosines.max(axis=1), bins[labels == name])
+        floor = rejection_floors(_without_own(mine, cosines), bins[labels == name])
         for j in range(len(found)):
             if (own == j).any():
                 owner.append(n)

@@ -31,8 +31,6 @@ KEYWORDS = (
     "password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "key", "bearer", "authorization",
     "credential", "credentials", "access_key", "secret_key", "private", "auth",
 )
-#: A CRF span has at least so many characters.
-LEAST = 12
 O, B, I = range(3)
 
 # classes of characters: 0 space, 1 lower, 2 upper, 3 digit, 4 mark within tokens, 5 other letter, 6 separator
@@ -210,6 +208,11 @@ def _lines(rng: np.random.Generator) -> Iterator[list[tuple[str, bool]]]:
             lambda: f"the {KEYWORDS[n(len(KEYWORDS))]} {word()} {word()}",
             lambda: f"{word()}{'*%&$#'[n(5)] * 3} {word()}{'*%&$#'[n(5)] * 3}",
             lambda: f"{word().strip('.,;!')}-{word().strip('.,;!')}-{word()}",
+            lambda: f"/static/js/main.{some(hexes, int((8, 16, 20)[n(3)]))}.chunk.js",
+            lambda: f"{word().strip('.,;!')}.{some(hexes, 8)}.css",
+            lambda: f"{KEYWORDS[n(len(KEYWORDS))]} = {word()}",
+            lambda: f"{word()}{n(1, 99)}{word()}",
+            lambda: some(hexes, int(n(6, 11))),
         )
         return [(str(kinds[n(len(kinds))]()) + " ", False)]
 
@@ -227,6 +230,7 @@ def _lines(rng: np.random.Generator) -> Iterator[list[tuple[str, bool]]]:
             lambda: "eyJ" + some(mixed, 30) + ".eyJ" + some(mixed, 60) + "." + some(mixed + "_-", 43),
             lambda: some(mixed + "+/", 40),
             lambda: some(letters, 6) + some("0123456789", 4) + some(mixed, 6),
+            lambda: some(mixed, int(n(9, 16))),
         )
         value = str(body[n(len(body))]())
         style = n(5)
@@ -234,12 +238,12 @@ def _lines(rng: np.random.Generator) -> Iterator[list[tuple[str, bool]]]:
             return [("AKIA" + some(letters.upper() + "0123456789", 16), True), (" ", False)]
         if style == 1:
             return [("-----BEGIN PRIVATE KEY-----\n", False)] + [x for _ in range(n(2, 6)) for x in ((some(mixed + "+/", 64), True), ("\n", False))]
-        if style == 2:
+        if style == 2 and len(value) >= 24:
             return [(value, True), (" ", False)]
         join = joins[n(len(joins))]
         return [(key + join, False), (value, True), ('"\n' if '"' in join else "'\n" if "'" in join else "\n", False)]
 
-    for _ in range(240):
+    for _ in range(360):
         parts: list[tuple[str, bool]] = []
         for _ in range(rng.integers(3, 9)):
             r = rng.random()
@@ -353,7 +357,7 @@ def scan_texts(texts: list[str], field: tuple[np.ndarray, np.ndarray]) -> list[t
         for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(hit)).tolist(), strict=True):
             k = int(file_of[hit[a]])
             s, e = int(tokens.starts[hit[a]] - begin[k]), int(tokens.stops[hit[b - 1]] - begin[k])
-            if e - s >= LEAST and not any(x <= s and e <= y for x, _, y in base[k]):
+            if not any(x <= s and e <= y for x, _, y in base[k]):
                 added[k].append((s, 3, e))
     return list(zip(base, added, strict=True))
 

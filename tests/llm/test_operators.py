@@ -267,6 +267,27 @@ def test_field_finds_what_the_patterns_miss():
     assert not base and [text[a:b] for a, _, b in added] == ["ghp_aB3dE5fG7hJ9kL1mN3pQ5rS7tU9vW1xY3zA5"] and not none
 
 
+def test_precision_and_recall_on_files_that_were_not_learned():
+    weights, transitions = secrets.trained_field()
+
+    def spans(tags):
+        begins = [i for i, t in enumerate(tags) if t == secrets.B or (t == secrets.I and (i == 0 or tags[i - 1] == secrets.O))]
+        return {(i, next((j for j in range(i + 1, len(tags)) if tags[j] != secrets.I), len(tags))) for i in begins}
+
+    hit = told = there = 0
+    for features, tags in secrets._examples(777):
+        first = np.arange(len(tags)) == 0
+        found, gold = spans(secrets.decode(secrets._emissions(weights, features), transitions, first).tolist()), spans(tags.tolist())
+        hit, told, there = hit + len(found & gold), told + len(found), there + len(gold)
+    assert hit / told > 0.93 and hit / there > 0.93
+
+
+def test_short_secrets_are_found_and_hashed_names_are_not():
+    texts = ["see /static/js/main.4f3e2a1b9c8d7e6f.chunk.js for it", "my key is Zx81kQ9pLm and that is it"]
+    (_, none), (_, added) = secrets.scan_texts(texts, secrets.trained_field())
+    assert not none and [texts[1][a:b] for a, _, b in added] == ["Zx81kQ9pLm"]
+
+
 def test_decoding_in_stretches_is_exact():
     weights, transitions = secrets.trained_field()
     rng = np.random.default_rng(1)
