@@ -609,7 +609,7 @@ def test_lines_equal_brute_force(spark, empty):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("line", F.lit("x")).withColumn("place", F.lit(1))
     expected = plain_lines(docs)
     for part in (500, 4):
-        got = lines.deduplicate_lines(spark, df, part=part, bucket_part=part).collect()
+        got = lines.deduplicate_lines(spark, df, part=part).collect()
         assert {r.doc_id: r.text for r in got} == expected and len(got) == len(docs)
         for r in got:
             whole = dict(docs)[r.doc_id]
@@ -637,8 +637,17 @@ def test_lines_of_equal_rows_and_long_lines(spark):
     assert by[4] == rows[4][1] and by[5] == ""
 
 
-def test_word_codes(spark):
-    code = lines.word_codes(F.transform(F.split(F.lit("a b c a"), " "), lines._word_hash))
-    row = spark.range(1).select(F.char_length(code).alias("n"), code.alias("code")).first()
-    assert row.n == 4 and row.code[0] == row.code[3] != row.code[1]
-    assert json.dumps(row.code)
+def test_word_edit_distance_equals_brute_force():
+    rng, pairs = np.random.default_rng(5), []
+    for _ in range(600):
+        a = list(rng.integers(0, 30, rng.integers(1, 30)))
+        b = list(a)
+        for _ in range(rng.integers(0, 9)):
+            at, kind = rng.integers(len(b)), rng.integers(3)
+            b[at : at + (kind > 0)] = [] if kind == 1 and len(b) > 1 else [rng.integers(30)]
+        pairs.append((a, b, max(len(a), len(b)) // 5))
+    pairs = [x for x in pairs if abs(len(x[0]) - len(x[1])) <= x[2]]
+    nx, ny, most = (np.array([f(x) for x in pairs]) for f in (lambda x: len(x[0]), lambda x: len(x[1]), lambda x: x[2]))
+    x, y = (np.array([p[k] + [-1] * (40 - len(p[k])) for p in pairs]) for k in (0, 1))
+    expected = [edits(a, b) <= e for a, b, e in pairs]
+    assert list(lines.within(x, nx, y, ny, most)) == expected and 100 < sum(expected) < len(pairs) - 100
