@@ -28,6 +28,8 @@ def materialise(spark: SparkSession, df: DataFrame, tag: str, compression: str =
     """
     path = f"{shared_dir(spark)}/skyloom-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
+    # shuffles that no plan refers to any more are deleted when the driver collects garbage
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.skyloom_path = path
     return out
