@@ -2,7 +2,8 @@
 
 Regions are structs of kind (P point, C circle, B box, G polygon) and v, their numbers:
 [ra, dec], [ra, dec, r], [ra0, dec0, ra1, dec1] or [ra1, dec1, ra2, dec2, ...].
-Boundaries belong to a region, within EPSILON.
+Boundaries belong to a region, within a tolerance of EPSILON; with a tolerance of 0 circles
+are told by a plain comparison of distances, as SQL has it.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def separation(ra1, dec1, ra2, dec2) -> Column:
     return F.degrees(F.atan2(F.sqrt(x * x + y * y), z))
 
 
-def in_cone(ra: Column, dec: Column, ra0: float, dec0: float, radius: float) -> Column:
+def in_cone(ra: Column, dec: Column, ra0: float, dec0: float, radius: float, tolerance: float = EPSILON) -> Column:
     """Whether a position lies in a fixed circle.
 
     The ranges of dec and ra that hold the circle come first; they are plain comparisons that
@@ -40,7 +41,7 @@ def in_cone(ra: Column, dec: Column, ra0: float, dec0: float, radius: float) ->
     """
     if not 0 <= radius <= 180:
         raise ValueError(f"radius {radius} is not within 0 to 180")
-    exact = separation(ra, dec, ra0, dec0) <= radius + EPSILON
+    exact = separation(ra, dec, ra0, dec0) <= radius + tolerance
     reach = radius + 2 * EPSILON
     if reach >= 90:
         return exact
@@ -212,15 +213,15 @@ def _polygon_holds(v: Column, p: Column) -> Column:
     return _let(_vertices(v), held)
 
 
-def contains(region: Column, ra: Column, dec: Column) -> Column:
-    """Whether a circle, box or convex polygon column holds a position; null for a null region, false for a point elsewhere."""
+def contains(region: Column, ra: Column, dec: Column, tolerance: float = EPSILON) -> Column:
+    """Whether a circle, box or convex polygon column holds a position; null for a null region, false for a point elsewhere. ``tolerance`` is that of circles and points."""
 
     def of(r: Column) -> Column:
         v = r["v"]
         n = [F.get(v, F.lit(i)) for i in range(4)]
         turn = F.pmod(_column(ra) - n[0], F.lit(360.0))
         in_the_box = _column(dec).between(n[1] - EPSILON, n[3] + EPSILON) & ((turn <= n[2] - n[0] + EPSILON) | (turn >= 360 - EPSILON))
-        round_ = separation(ra, dec, n[0], n[1]) <= F.when(r["kind"] == "C", n[2]).otherwise(F.lit(0.0)) + EPSILON
+        round_ = separation(ra, dec, n[0], n[1]) <= F.when(r["kind"] == "C", n[2]).otherwise(F.lit(0.0)) + F.lit(float(tolerance))
         return (
             F.when(r["kind"].isin("P", "C"), round_)
             .when(r["kind"] == "B", in_the_box)
@@ -260,8 +261,11 @@ def _edges_cross(x: Column, y: Column) -> Column:
     return _let(ys, lambda t: F.exists(_let(_vertices(x), _edges), lambda e: F.exists(t, lambda f: crossed(e, f))))
 
 
-def intersects(a: Column, b: Column) -> Column:
-    """Whether two regions share a position: points, circles, boxes (as polygons of their corners) and convex polygons, in any pairing."""
+def intersects(a: Column, b: Column, tolerance: float = EPSILON) -> Column:
+    """Whether two regions share a position: points, circles, boxes (as polygons of their corners) and convex polygons, in any pairing.
+
+    ``tolerance`` is that of circles and points with each other.
+    """
     a, b = as_polygon(a), as_polygon(b)
 
     def ordered(pair: Column) -> Column:
@@ -270,7 +274,7 @@ def intersects(a: Column, b: Column) -> Column:
         xv, yv = x["v"], y["v"]
         at = [F.get(yv, F.lit(i)) for i in range(3)]
         size = lambda r: F.when(r["kind"] == "C", F.get(r["v"], F.lit(2))).otherwise(F.lit(0.0))
-        round_ = separation(F.get(xv, F.lit(0)), F.get(xv, F.lit(1)), at[0], at[1]) <= size(x) + size(y) + EPSILON
+        round_ = separation(F.get(xv, F.lit(0)), F.get(xv, F.lit(1)), at[0], at[1]) <= size(x) + size(y) + F.lit(float(tolerance))
         inside = lambda one, other: F.exists(_vertices(other["v"]), lambda p: _polygon_holds(one["v"], p))
         return (
             F.when(x["kind"] != "G", round_)

@@ -53,9 +53,9 @@ def _touched(ra: Column, dec: Column, reach: float, height: float) -> Column:
 
 
 def cross_match(
-    left: DataFrame, right: DataFrame, radius: float, left_at: tuple[str, str], right_at: tuple[str, str], how: str = "inner"
+    left: DataFrame, right: DataFrame, radius: float, left_at: tuple[str, str], right_at: tuple[str, str], how: str = "inner", tolerance: float = EPSILON
 ) -> DataFrame:
-    """All pairs of rows within ``radius`` degrees, with their distance.
+    """All pairs of rows within ``radius`` degrees and ``tolerance``, of EPSILON at most, with their distance.
 
     ``left_at`` and ``right_at`` name the columns of ra and dec. Rows with a null position match
     nothing. Any join type will do that Spark has for an equi-join; of outer, semi and anti
@@ -71,7 +71,7 @@ def cross_match(
     a = a.withColumns({"zone_": zone, "cell_": _cell(la, _cells(zone, height))}).alias("l")
     b = b.select("r.*", F.explode(_touched(ra, rd, reach, height)).alias("at_")).alias("r")
     near = separation(la, ld, ra, rd)
-    on = (F.col("l.zone_") == F.col("r.at_.zone")) & (F.col("l.cell_") == F.col("r.at_.cell")) & (near <= radius + EPSILON)
+    on = (F.col("l.zone_") == F.col("r.at_.zone")) & (F.col("l.cell_") == F.col("r.at_.cell")) & (near <= radius + tolerance)
     joined = a.join(b, on, how)
     if how in ("left_semi", "left_anti"):
         return joined.drop("zone_", "cell_")
@@ -96,8 +96,8 @@ def bounding_circle(region: Column) -> Column:
     return _let(as_polygon(region), of)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, left_region: str, right_region: str, cell_degrees: float = 2.0) -> DataFrame:
-    """Pairs of rows whose regions share a position.
+def overlap_join(left: DataFrame, right: DataFrame, left_region: str, right_region: str, cell_degrees: float = 2.0, tolerance: float = EPSILON) -> DataFrame:
+    """Pairs of rows whose regions share a position, circles within ``tolerance``, of EPSILON at most.
 
     Both sides go to the cells that their bounding circles touch. A pair that meets in several
     cells is kept in the least of them alone, so no distinct is needed.
@@ -112,7 +112,7 @@ def overlap_join(left: DataFrame, right: DataFrame, left_region: str, right_regi
 
     a, b = covered(left, left_region, "l").alias("l"), covered(right, right_region, "r").alias("r")
     first = F.array_min(F.array_intersect("cells_l", "cells_r"))
-    pairs = a.join(b, (F.col("l.at_") == F.col("r.at_")) & (F.col("l.at_") == first) & intersects(F.col(f"l.{left_region}"), F.col(f"r.{right_region}")))
+    pairs = a.join(b, (F.col("l.at_") == F.col("r.at_")) & (F.col("l.at_") == first) & intersects(F.col(f"l.{left_region}"), F.col(f"r.{right_region}"), tolerance))
     return pairs.drop("at_", "cells_l", "cells_r")
 
 
