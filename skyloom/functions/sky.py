@@ -364,28 +364,32 @@ def parse_region(text: Column, convex: bool = True) -> Column:
     Closing and repeated vertices are left out. A polygon that is not convex is null too,
     because ``contains`` and ``intersects`` need convex ones; ``convex`` False keeps it.
     """
-    parts = F.split(F.upper(F.trim(text)), r"\s+")
-    start = F.when(F.get(parts, F.lit(1)) == "ICRS", 3).otherwise(2)
-    numbers = F.transform(F.slice(parts, start, F.greatest(F.size(parts), F.lit(1))), lambda x: x.try_cast("double"))
-    kind = F.get(parts, F.lit(0))
-    sane = F.forall(numbers, lambda x: x.isNotNull())
-    pairs = F.when(kind == "CIRCLE", F.slice(numbers, 1, 2)).otherwise(numbers)
-    ranged = F.forall(
-        F.transform(pairs, lambda x, i: F.when(i % 2 == 0, x.between(0.0, 360.0)).otherwise(x.between(-90.0, 90.0))), lambda ok: ok
-    )
-    r = F.get(numbers, F.lit(2))
-    named = (
-        F.when((kind == "CIRCLE") & (F.size(numbers) == 3) & (r > 0) & (r <= 180), F.lit("C"))
-        .when((kind == "POLYGON") & (F.size(numbers) >= 6) & (F.size(numbers) % 2 == 0), F.lit("G"))
-        .when((kind == "POSITION") & (F.size(numbers) == 2), F.lit("P"))
-    )
-    told = F.when(sane & ranged & named.isNotNull(), F.struct(named.alias("kind"), F.when(named == "G", _ring(numbers)).otherwise(numbers).alias("v")))
+    def of(parts: Column) -> Column:
+        start = F.when(F.get(parts, F.lit(1)) == "ICRS", 3).otherwise(2)
+        numbers = F.transform(F.slice(parts, start, F.greatest(F.size(parts), F.lit(1))), lambda x: x.try_cast("double"))
+        return _let(numbers, lambda n: told(F.get(parts, F.lit(0)), n))
+
+    def told(kind: Column, numbers: Column) -> Column:
+        sane = F.forall(numbers, lambda x: x.isNotNull())
+        pairs = F.when(kind == "CIRCLE", F.slice(numbers, 1, 2)).otherwise(numbers)
+        ranged = F.forall(
+            F.transform(pairs, lambda x, i: F.when(i % 2 == 0, x.between(0.0, 360.0)).otherwise(x.between(-90.0, 90.0))), lambda ok: ok
+        )
+        r = F.get(numbers, F.lit(2))
+        named = (
+            F.when((kind == "CIRCLE") & (F.size(numbers) == 3) & (r > 0) & (r <= 180), F.lit("C"))
+            .when((kind == "POLYGON") & (F.size(numbers) >= 6) & (F.size(numbers) % 2 == 0), F.lit("G"))
+            .when((kind == "POSITION") & (F.size(numbers) == 2), F.lit("P"))
+        )
+        shape = lambda k: F.struct(k.alias("kind"), F.when(k == "G", _ring(numbers)).otherwise(numbers).alias("v"))
+        return _let(named, lambda k: F.when(sane & ranged & k.isNotNull(), shape(k)))
 
     def kept(r: Column) -> Column:
         held = is_convex(r["v"]) if convex else F.lit(True)
         return F.when(r["kind"] != "G", r).when(F.size(r["v"]) < 6, F.lit(None)).when(held, r)
 
-    return _let(told, kept)
+    # text, parts and numbers are worked out once a row, however often they are looked at
+    return _let(_let(F.split(F.upper(F.trim(text)), r"\s+"), of), kept)
 
 
 #: Radius in degrees of the polygon that stands for a position.
@@ -418,14 +422,20 @@ def named(function: str, value: Column) -> Column:
 def circle_vertices(ra, dec, radius, n: int = 32) -> Column:
     """A circle as a polygon of n vertices, by bearing from north."""
     a, d, r = (F.radians(_column(x)) for x in (ra, dec, radius))
+    fixed = F.array(a, F.sin(d), F.cos(d), F.sin(r), F.cos(r))
+
+    def of(known: Column) -> Column:
+        a, sin_d, cos_d, sin_r, cos_r = (F.get(known, F.lit(i)) for i in range(5))
+
+        def vertex(i: Column) -> Column:
+            bearing = i * (2 * math.pi / n)
+            turn = lambda z: F.atan2(F.sin(bearing) * sin_r * cos_d, cos_r - sin_d * F.sin(z))
+            at = lambda z: F.array(F.pmod(F.degrees(a + turn(z)), F.lit(360.0)), F.degrees(z))
+            return _let(F.asin(sin_d * cos_r + cos_d * sin_r * F.cos(bearing)), at)
 
-    def vertex(i: Column) -> Column:
-        bearing = i * (2 * math.pi / n)
-        z = F.asin(F.sin(d) * F.cos(r) + F.cos(d) * F.sin(r) * F.cos(bearing))
-        turn = F.atan2(F.sin(bearing) * F.sin(r) * F.cos(d), F.cos(r) - F.sin(d) * F.sin(z))
-        return F.array(F.pmod(F.degrees(a + turn), F.lit(360.0)), F.degrees(z))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), vertex))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), vertex))
+    return _let(fixed, of)
 
 
 def propagate(ra, dec, parallax, pm_ra, pm_dec, radial_velocity, epoch, to_epoch) -> Column:
