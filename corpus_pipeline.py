@@ -30,7 +30,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8): the one with the smallest doc_id, null last; of equal rows, one."""
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8): the one with the smallest doc_id, null last; of equal rows, one.
+
+    Candidates come from op9's SimHash fingerprints, linked through BK-trees, and from MinHash keys; shingle sets decide.
+    """
     known = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64("text"))
     first = copies.first_copies(spark, docs).alias("k")
     same = known["doc_id"].eqNullSafe(F.col("k.doc_id")) & (known["text_hash"] == F.col("k.text_hash"))

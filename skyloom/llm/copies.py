@@ -1,8 +1,9 @@
 """Near copies of documents: pairs whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-A SimHash of 64 bits cannot tell such pairs: at 0.8 they differ in about ten bits. Candidates
-are met by MinHash instead: BANDS keys of ROWS minima each, of which a pair at 0.8 shares
-none with a chance of 1.3e-7. Candidates are joined into groups, and within a group every
+Candidates are the links of op9: SimHash fingerprints that differ in at most three bits, found
+in BK-trees. They cannot be all: pairs at 0.8 differ in about ten bits of 64, more than any
+blocks of bits can be searched for. MinHash adds the rest: BANDS keys of ROWS minima each, of
+which a pair at 0.8 shares none with a chance of 1.3e-7. Candidates are joined into groups, and within a group every
 pair that could still join two parts is compared on its whole sets of shingles, so nothing
 is a copy by its keys alone. Large groups are dealt into parts and every pair of parts is compared in a
 task of its own.
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.components import connected_components
+from skyloom.llm.simhash import fingerprint_of, link_fingerprints
 from skyloom.llm.workspace import materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -28,15 +30,20 @@ PART, PART_SHINGLES = 1000, 250_000
 _STRETCH = 1 << 12
 
 
-def shingle_set(text: str | None, words: int = SHINGLE) -> np.ndarray:
-    """Hashes of the distinct shingles of a text, sorted, of words as op9 takes them; too few words are one shingle."""
+def shingle_hashes(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """Hashes of the shingles of a text, repeats included, of words as op9 takes them; too few words are one shingle."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     line = b" ".join(parts)
     k = max(1, min(words, len(parts)))
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1 if parts else np.zeros(1, np.int64)
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(ends) - k + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[s:e]) for s, e in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64))
+    return np.array([digest(line[s:e]) for s, e in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def shingle_set(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """Hashes of the distinct shingles of a text, sorted."""
+    return np.unique(shingle_hashes(text, words))
 
 
 def _mixers() -> tuple[np.ndarray, np.ndarray]:
@@ -55,19 +62,24 @@ def band_keys(shingles: np.ndarray, mixers: tuple[np.ndarray, np.ndarray]) -> li
 
 
 def _signed(df: DataFrame) -> DataFrame:
-    """unknown, doc_id, text_hash, sid (a hash of the set), size and keys of every row."""
+    """unknown, doc_id, text_hash, sid (a hash of the set), size, fp (the SimHash of all shingles) and keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixers = _mixers()
         for batch in batches:
-            sets = [shingle_set(x.as_py()) for x in batch.column(0)]
+            sets, fps = [], []
+            for x in batch.column(0):
+                hashes = shingle_hashes(x.as_py())
+                sets.append(np.unique(hashes))
+                fps.append(fingerprint_of(hashes))
+            fp = pa.array(np.array(fps, np.uint64).view(np.int64))
             sids = pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
             sizes = pa.array([len(s) for s in sets], pa.int64())
             keys = pa.array([band_keys(s, mixers) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], sids, sizes, keys], [*batch.schema.names[1:], "sid", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], sids, sizes, fp, keys], [*batch.schema.names[1:], "sid", "size", "fp", "keys"])
 
     rows = df.select("text", F.col("doc_id").isNull().alias("unknown"), "doc_id", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, "unknown boolean, doc_id long, text_hash long, sid long, size long, keys array<long>")
+    return rows.mapInArrow(run, "unknown boolean, doc_id long, text_hash long, sid long, size long, fp long, keys array<long>")
 
 
 def spanning_copies(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
@@ -114,18 +126,27 @@ def _with_sets(df: DataFrame) -> DataFrame:
     return df.select("text", "sid", "root", "parts").mapInArrow(run, "sid long, root long, parts int, shingles binary")
 
 
+def fingerprint_links(spark: SparkSession, reps: DataFrame) -> DataFrame:
+    """(u, v) that join all sids of (sid, fp) whose fingerprints reach one another over links of op9."""
+    roots = link_fingerprints(spark, reps.select("fp").distinct())
+    rooted = reps.select("sid", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("sid", F.coalesce("root", "fp").alias("root"))
+    leads = rooted.groupBy("root").agg(F.min("sid").alias("v"), F.count("*").alias("n")).filter("n > 1").select("root", "v")
+    return rooted.join(leads, "root").select(F.col("sid").alias("u"), "v")
+
+
 def first_copies(spark: SparkSession, df: DataFrame, part: int = PART) -> DataFrame:
     """unknown, doc_id and text_hash of one row of each group of near copies: the least, null ids last.
 
     A group is connected by pairs with a similarity of at least SIMILARITY. Rows that are equal in doc_id and text are one.
     """
-    least = F.min(F.struct("unknown", "doc_id", "text_hash", "size", "keys")).alias("k")
+    least = F.min(F.struct("unknown", "doc_id", "text_hash", "size", "fp", "keys")).alias("k")
     reps = materialise(spark, _signed(df).groupBy("sid").agg(least).select("sid", "k.*"), "sets")
     keyed = reps.select("sid", F.explode("keys").alias("key"))
     leads = keyed.groupBy("key").agg(F.min("sid").alias("v"), F.count("*").alias("n")).filter("n > 1").select("key", "v")
-    met = connected_components(spark, keyed.join(leads, "key").select(F.col("sid").alias("u"), "v"))
+    by_keys = keyed.join(leads, "key").select(F.col("sid").alias("u"), "v")
+    met = connected_components(spark, fingerprint_links(spark, reps).unionByName(by_keys))
     members = met.select(F.col("node").alias("sid"), "root").unionByName(met.select(F.col("root").alias("sid"), "root").distinct())
-    known = materialise(spark, members.join(reps.drop("keys"), "sid"), "candidates")
+    known = materialise(spark, members.join(reps.drop("keys", "fp"), "sid"), "candidates")
     parts = F.greatest(F.ceil(F.count("*") / F.lit(part)), F.ceil(F.sum("size") / F.lit(PART_SHINGLES))).cast("int")
     dealt = known.join(known.groupBy("root").agg(parts.alias("parts")), "root").select("sid", "root", "parts", F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"))
     docs = df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")

@@ -31,6 +31,19 @@ PART = 4096
 _VOTES = 1 << 16
 
 
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _decided(votes: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of the 64-bit hashes of a text's shingles, repeats included."""
+    return _decided(sum(_votes(hashes[at : at + _VOTES]) for at in range(0, len(hashes), _VOTES)), len(hashes))
+
+
 def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int:
     """SimHash of the space-joined shingles of a text, as an unsigned 64-bit number.
 
@@ -49,8 +62,8 @@ def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int
     votes = np.zeros(64, np.int64)
     for at in range(0, len(starts), _VOTES):
         hashes = np.array([digest(line[s:e], seed) for s, e in zip(starts[at : at + _VOTES], stops[at : at + _VOTES], strict=True)], "<u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(starts), bitorder="little").view("<u8")[0])
+        votes += _votes(hashes)
+    return _decided(votes, len(starts))
 
 
 def with_fingerprints(df: DataFrame, columns: list[str]) -> DataFrame:
