@@ -34,12 +34,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Candidates come from op9's SimHash fingerprints, linked through BK-trees, and from MinHash keys; shingle sets decide.
     """
-    known = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64("text"))
-    first = copies.first_copies(spark, docs).alias("k")
-    same = known["doc_id"].eqNullSafe(F.col("k.doc_id")) & (known["text_hash"] == F.col("k.text_hash"))
-    kept = known.join(first, same, "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("text_hash"))
-    return kept.withColumn("nth", nth).filter("nth = 1").select(*COLUMNS)
+    # one set of keys without nulls for join and window, so that texts are shuffled once
+    keys = ["unknown", "id", "text_hash"]
+    id_ = F.coalesce("doc_id", F.lit(0))
+    known = docs.select(*COLUMNS).withColumns({"unknown": F.col("doc_id").isNull(), "id": id_, "text_hash": F.xxhash64("text")})
+    first = copies.first_copies(spark, docs).select("unknown", id_.alias("id"), "text_hash")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("text_hash"))
+    return known.join(first, keys, "left_semi").withColumn("nth", nth).filter("nth = 1").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

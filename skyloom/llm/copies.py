@@ -15,11 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.components import connected_components
+from skyloom.llm.lines import _BYTES, ODD, SLICE_BYTES, SLICE_LINES, _bytes_of, _mixed, _sequence_hash, _slices
 from skyloom.llm.simhash import fingerprint_of, link_fingerprints
 from skyloom.llm.workspace import materialise
 
@@ -27,38 +29,79 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 5
 #: Members and shingles of one part of a group, at most about.
 PART, PART_SHINGLES = 1000, 250_000
-_STRETCH = 1 << 12
+#: Shingles that are mixed at once.
+_STRETCH = 1 << 9
+#: Bytes with A-Z as lower case and white space as a space.
+_LOWER = np.frombuffer(bytes(range(256)).lower().translate(bytes.maketrans(b"\t\n\v\f\r", b" " * 5)), np.uint8)
 
 
-def shingle_hashes(text: str | None, words: int = SHINGLE) -> np.ndarray:
-    """Hashes of the shingles of a text, repeats included, of words as op9 takes them; too few words are one shingle."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    line = b" ".join(parts)
-    k = max(1, min(words, len(parts)))
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1 if parts else np.zeros(1, np.int64)
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(ends) - k + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(line[s:e]) for s, e in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64)
+def shingles_of(texts: pa.Array, words: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, hashes, ends): for slices of texts where they begin, the hashes of all their shingles, repeats included, and where those of each end.
 
-
-def shingle_set(text: str | None, words: int = SHINGLE) -> np.ndarray:
-    """Hashes of the distinct shingles of a text, sorted."""
-    return np.unique(shingle_hashes(text, words))
+    Words are as op9 takes them: A-Z become lower case, white space of ASCII parts them. Too few words are one shingle, no words too.
+    """
+    texts = pc.fill_null(texts, "")
+    sizes = np.asarray(pc.binary_length(texts)).astype(np.int64)
+    for a, b in _slices(sizes, SLICE_BYTES, SLICE_LINES):
+        raw, begin = _bytes_of(texts.slice(a, b - a))
+        # a text's end is a word's end
+        parted = np.full(len(raw) + b - a, 0x20, np.uint8)
+        begin = begin + np.arange(b - a + 1)
+        inside = np.ones(len(parted), bool)
+        inside[begin[1:] - 1] = False
+        parted[inside] = _LOWER[raw]
+        letter = np.zeros(len(parted) + 1, np.int8)
+        letter[1:] = parted != 0x20
+        step = np.diff(letter)
+        first, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        size = end - first
+        codes = _sequence_hash(_BYTES[parted[letter[1:].view(bool)]], np.cumsum(size) - size, size) if len(size) else np.zeros(0, np.uint64)
+        start = np.searchsorted(first, begin)
+        n, start = np.diff(start), start[:-1]
+        count = np.maximum(n - words + 1, 1)
+        ends = np.cumsum(count)
+        of = np.repeat(np.arange(b - a), count)
+        at = start[of] + np.arange(len(of)) - (ends - count)[of]
+        # all shingles have so many words, but those of short texts
+        hashes = np.zeros(len(of), np.uint64)
+        padded = np.r_[codes, np.zeros(words, np.uint64)]
+        for k in range(words):
+            hashes = hashes * ODD + np.where(k < n[of], padded[at + k], np.uint64(0))
+        yield a, _mixed(hashes + np.minimum(n, words).astype(np.uint64)[of]), ends
+
+
+def _sets(texts: pa.Array, words: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The hashes of each text's shingles, and its set of them, sorted."""
+    for _, hashes, ends in shingles_of(texts, words):
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            one = hashes[a:b]
+            known = np.sort(one)
+            yield one, known[np.r_[True, known[1:] != known[:-1]]]
 
 
 def _mixers() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(5)
-    a, b = rng.integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
-    return a | np.uint64(1), b
+    a, b = rng.integers(0, 2**32, (2, BANDS * ROWS, 1), np.uint32)
+    return a | np.uint32(1), b
 
 
-def band_keys(shingles: np.ndarray, mixers: tuple[np.ndarray, np.ndarray]) -> list[int]:
+def least_of(shingles: np.ndarray, mixers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The least of 32 bits of the shingles under each mixer."""
     a, b = mixers
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(shingles), _STRETCH):
-        np.minimum(least, (shingles[at : at + _STRETCH] * a + b).min(axis=1), out=least)
-    bands = least.reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(bands)]
+    least, bits = np.full(BANDS * ROWS, 2**32 - 1, np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(bits), _STRETCH):
+        mixed = bits[at : at + _STRETCH] * a
+        mixed += b
+        np.minimum(least, mixed.min(axis=1), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A key for each band of the minima of each row."""
+    bands, key = least.reshape(len(least), BANDS, ROWS).astype(np.uint64), np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        key = _mixed((key + np.uint64(1)) * ODD + bands[:, :, k])
+    return key.view(np.int64)
 
 
 def _signed(df: DataFrame) -> DataFrame:
@@ -67,16 +110,17 @@ def _signed(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixers = _mixers()
         for batch in batches:
-            sets, fps = [], []
-            for x in batch.column(0):
-                hashes = shingle_hashes(x.as_py())
-                sets.append(np.unique(hashes))
+            if not batch.num_rows:
+                continue
+            fps, sids, sizes, least = [], [], [], []
+            for hashes, shingles in _sets(batch.column(0)):
                 fps.append(fingerprint_of(hashes))
+                sids.append(xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63))
+                sizes.append(len(shingles))
+                least.append(least_of(shingles, mixers))
             fp = pa.array(np.array(fps, np.uint64).view(np.int64))
-            sids = pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
-            sizes = pa.array([len(s) for s in sets], pa.int64())
-            keys = pa.array([band_keys(s, mixers) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], sids, sizes, fp, keys], [*batch.schema.names[1:], "sid", "size", "fp", "keys"])
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(least) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(band_keys(np.stack(least)).ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), fp, keys], [*batch.schema.names[1:], "sid", "size", "fp", "keys"])
 
     rows = df.select("text", F.col("doc_id").isNull().alias("unknown"), "doc_id", F.xxhash64("text").alias("text_hash"))
     return rows.mapInArrow(run, "unknown boolean, doc_id long, text_hash long, sid long, size long, fp long, keys array<long>")
@@ -120,7 +164,7 @@ def _with_sets(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([shingle_set(x.as_py()).tobytes() for x in batch.column(0)], pa.binary())
+            sets = pa.array([s.tobytes() for _, s in _sets(batch.column(0))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], sets], [*batch.schema.names[1:], "shingles"])
 
     return df.select("text", "sid", "root", "parts").mapInArrow(run, "sid long, root long, parts int, shingles binary")
